@@ -15,6 +15,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.decontam import decontaminate
+
+    return decontaminate(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.mixing import mix
 
@@ -45,6 +51,21 @@ def op10_exact_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.documents(spark, sf_dir)).drop("n_chunks")
 
 
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT item_id, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS s, w FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 12], ' ') AS k, least(len(w), 13) AS n FROM i),
+sz AS (SELECT DISTINCT n FROM g),
+p AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, w FROM d, sz WHERE len(w) >= n),
+m AS (SELECT doc_id, s, p.n, item_id FROM p JOIN g ON array_to_string(w[s:s + p.n - 1], ' ') = k AND p.n = g.n),
+h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS x FROM m) GROUP BY doc_id),
+o AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id)
+"""
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -82,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": OP3_SQL, "op10_exact_recipes": OP10_SQL}
+    return {"op1_benchmark_phrases": OP1_SQL, "op3_source_mix": OP3_SQL, "op10_exact_recipes": OP10_SQL}

@@ -27,6 +27,12 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
+def op5_hyperminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.neardup import near_duplicates
+
+    return near_duplicates(common.documents(spark, sf_dir), percent=80, size=4)
+
+
 def op7_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.quality import quality_scores
 

@@ -33,6 +33,12 @@ def op5_hyperminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir), percent=80, size=4)
 
 
+def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.lm import lm_scores
+
+    return lm_scores(common.documents(spark, sf_dir))
+
+
 def op7_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.quality import quality_scores
 

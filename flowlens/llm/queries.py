@@ -27,6 +27,12 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
+def op4_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(common.documents(spark, sf_dir), common.labels(spark, sf_dir)).drop("evidence")
+
+
 def op5_hyperminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.neardup import near_duplicates
 

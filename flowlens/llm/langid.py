@@ -180,3 +180,17 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     model = fit(rows.where(common.remainder(F.col("doc_id"), folds) != held), sample_docs)
     out = identify(rows, model)
     return out.select("doc_id", (common.remainder(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score")
+
+
+def in_known_language(docs: DataFrame, model: MaskFilter | None, least: float = 0.1, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text has a letter and a best share of `least` or more; with no model, all with a letter."""
+    lettered = docs.where(F.col(text_col).rlike(r"\p{L}"))
+    if model is None:
+        return lettered
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(held.value.shares(*grams(b.column(at))).max(1, initial=0) >= least))
+
+    return common.map_arrow(lettered, kept, docs.schema)

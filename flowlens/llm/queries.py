@@ -21,6 +21,12 @@ def op1_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(common.documents(spark, sf_dir))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.mixing import mix
 

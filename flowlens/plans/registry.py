@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlens.plans import queries as q
+from flowlens.plans.sql import SQL
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    hidden = {"flows", "predictions"}
+    return {k: f for k, f in vars(q).items() if callable(f) and not k.startswith("_") and k not in hidden and k.islower() and getattr(f, "__module__", "") == q.__name__}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -45,7 +45,7 @@ def event_json(spark: SparkSession, path: str, schema: str = PREDICTION) -> Data
 
 
 def payload_rows(payloads: DataFrame, fields: list[str], column: str = "payload") -> DataFrame:
-    """Request bodies to rows: a list of objects, an object of equally long lists, or one object.
+    """Request bodies to rows: a list of objects, an object of equally long lists (the first tells the length), or one object.
 
     Values are numbers or texts as text; a nested value, a boolean or null makes the field missing.
     """
@@ -54,8 +54,8 @@ def payload_rows(payloads: DataFrame, fields: list[str], column: str = "payload"
     listed = F.from_json(body, T.ArrayType(item))
     columnar = F.from_json(body, T.StructType([T.StructField(f, T.ArrayType(T.StringType())) for f in fields]))
     is_columnar = F.get_json_object(body, f"$.{fields[0]}").startswith("[")
-    zipped = F.arrays_zip(*(columnar[f] for f in fields))
-    zipped = F.transform(zipped, lambda x: F.struct(*(x[str(i)].alias(f) for i, f in enumerate(fields))))
+    places = F.sequence(F.lit(0), F.size(columnar[fields[0]]) - 1)
+    zipped = F.transform(places, lambda i: F.struct(*(F.get(columnar[f], i).alias(f) for f in fields)))
     rows = F.when(body.startswith("["), listed).when(is_columnar, zipped).otherwise(F.array(F.from_json(body, item)))
     plain = lambda c: F.when(~c.rlike(r"^(\{|\[)") & ~c.isin("true", "false"), c)
     out = payloads.select("*", F.posexplode(rows).alias("row", "r"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens import contracts
+from flowlens.operators.pieces import HOURS, with_overlap
 
 DISTINCT = {"distinct_src_ips": "srcip", "distinct_dst_ips": "dstip", "distinct_src_ports": "sport", "distinct_dst_ports": "dsport"}
 ENTROPY = {"dst_ip_entropy": "dstip", "dst_port_entropy": "dsport"}
@@ -34,7 +35,7 @@ def additive_features(queries: DataFrame, flows: DataFrame, lookbacks: list[int]
     """Counts, sums, rates, shares, growth and trend per lookback, without a join.
 
     Flows are first summed per (file, end second), then queries and sums are united and one RANGE frame per
-    measure runs over whole seconds.
+    measure runs over whole seconds, in pieces of a file's time that repeat the longest lookback before them.
     """
     _check(lookbacks)
     share = lambda c, value, f: F.sum((F.coalesce(f(F.col(c)), F.lit("")) == value).cast("bigint"))
@@ -48,15 +49,15 @@ def additive_features(queries: DataFrame, flows: DataFrame, lookbacks: list[int]
     asked = queries.select("source_file", F.col("Stime").alias("s")).distinct().withColumn("asked", F.lit(True))
     both = seconds.withColumn("asked", F.lit(False)).unionByName(asked, allowMissingColumns=True)
     both = both.withColumn("sx", F.col("n") * F.col("s").cast("double"))
-    by = Window.partitionBy("source_file").orderBy("s")
-    out = both
+    out = with_overlap(both, F.col("s"), max(HOURS, 4 * max(lookbacks)), max(lookbacks))
+    by = Window.partitionBy("source_file", "piece").orderBy("s")
     for w in lookbacks:
         frame = by.rangeBetween(-(w - 1), 0)
         for m in [*measures, "sx"]:
             out = out.withColumn(f"{m}_{w}", F.coalesce(F.sum(m).over(frame), F.lit(0)))
         # The newer half is (t - W/2, t]; in whole seconds it starts floor(W/2 - tiny) seconds back.
         out = out.withColumn(f"recent_{w}", F.coalesce(F.sum("n").over(by.rangeBetween(-((w + 1) // 2 - 1), 0)), F.lit(0)))
-    out = out.where("asked")
+    out = out.where("asked and own")
     cols = [F.col("source_file"), F.col("s").alias("Stime")]
     for w in lookbacks:
         n, of = F.col(f"n_{w}"), (lambda m, w=w: F.coalesce(F.try_divide(F.col(f"{m}_{w}").cast("double"), F.col(f"n_{w}").cast("double")), F.lit(0.0)))
@@ -117,8 +118,9 @@ def attacks_before(queries: DataFrame, flows: DataFrame, width: int) -> DataFram
     ends = flows.where("Binary_Label = 1").groupBy("source_file", F.col("Ltime").alias("s")).agg(F.count("*").alias("n"))
     asked = queries.select("source_file", F.col("Stime").alias("s")).distinct().withColumn("asked", F.lit(True))
     both = ends.withColumn("asked", F.lit(False)).unionByName(asked, allowMissingColumns=True)
-    n = F.coalesce(F.sum("n").over(Window.partitionBy("source_file").orderBy("s").rangeBetween(-(width - 1), 0)), F.lit(0))
-    return both.withColumn("prior_attacks", n).where("asked").select("source_file", F.col("s").alias("Stime"), "prior_attacks")
+    both = with_overlap(both, F.col("s"), max(HOURS, 4 * width), width)
+    n = F.coalesce(F.sum("n").over(Window.partitionBy("source_file", "piece").orderBy("s").rangeBetween(-(width - 1), 0)), F.lit(0))
+    return both.withColumn("prior_attacks", n).where("asked and own").select("source_file", F.col("s").alias("Stime"), "prior_attacks")
 
 
 def attack_free(queries: DataFrame, flows: DataFrame, width: int) -> DataFrame:

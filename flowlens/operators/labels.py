@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens import contracts
 from flowlens.functions.scalars import event_id
 from flowlens.operators.onset import attack_states, five_numbers
-
-
-def _file() -> WindowSpec:
-    return Window.partitionBy("source_file")
+from flowlens.operators.pieces import carried, time_piece
 
 
 def derived_onsets(flows: DataFrame, prefix: str = "DERIVED-E") -> DataFrame:
@@ -30,8 +27,9 @@ def check_onsets(flows: DataFrame, onsets: DataFrame) -> None:
 def next_onsets(flows: DataFrame, onsets: DataFrame | None = None) -> DataFrame:
     """Quiet instants with the next onset strictly after them in their file: a forward as-of look-up.
 
-    Onsets are instants themselves, so it is a window over instants, taken before quiet ones are filtered: one
-    shuffle by file and no join of ranges. onsets: unset, the derived ones.
+    Onsets are instants themselves, so it is a window over instants, taken before quiet ones are filtered; no join
+    of ranges. It looks ahead in a piece of the file's time, and else to the first onset of a later piece.
+    onsets: unset, the derived ones.
     """
     units = attack_states(flows)
     if onsets is None:
@@ -39,8 +37,11 @@ def next_onsets(flows: DataFrame, onsets: DataFrame | None = None) -> DataFrame:
     else:
         check_onsets(flows, onsets)
         marked = units.join(onsets.select("source_file", F.col("onset_stime").alias("Stime"), F.col("event_id").alias("onset_id")), ["source_file", "Stime"], "left")
-    ahead = _file().orderBy("Stime").rowsBetween(1, Window.unboundedFollowing)
-    nearest = F.first(F.when(F.col("onset_id").isNotNull(), F.struct(F.col("Stime").alias("at"), F.col("onset_id").alias("id"))), ignorenulls=True).over(ahead)
+    marked = marked.withColumn("piece", time_piece(F.col("Stime"))).withColumn("onset", F.when(F.col("onset_id").isNotNull(), F.struct(F.col("Stime").alias("at"), F.col("onset_id").alias("id"))))
+    firsts = carried(marked.groupBy("source_file", "piece").agg(F.min("onset").alias("first")), ["source_file"], __later=("after", F.first("first", ignorenulls=True)))
+    ahead = Window.partitionBy("source_file", "piece").orderBy("Stime").rowsBetween(1, Window.unboundedFollowing)
+    nearest = F.coalesce(F.min("onset").over(ahead), "__later")
+    marked = marked.join(firsts, ["source_file", "piece"])
     out = marked.withColumn("nearest", nearest).where("not attack_active")
     return out.select("source_file", "Stime", F.col("nearest.at").alias("next_onset"), F.col("nearest.id").alias("next_event_id"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens import contracts
 from flowlens.functions.scalars import event_id, unix_to_iso
+from flowlens.operators.pieces import carried, time_piece
 
 
 def _file() -> WindowSpec:
@@ -27,16 +28,27 @@ def attack_states(flows: DataFrame) -> DataFrame:
     """Instants with attack_active (some attack begun so far has not ended), the state before, onsets and run numbers.
 
     An instant is active as long as the running maximum of attack ends reaches it. The first instant of a file,
-    if active, starts a run but is a boundary, not a confirmed onset.
+    if active, starts a run but is a boundary, not a confirmed onset. Windows run in pieces of a file's time; the
+    end reached, the last instant and its state, and the runs begun are carried over the borders.
     """
-    order = _file().orderBy("Stime")
+    inst = instants(flows).withColumn("piece", time_piece(F.col("Stime")))
+    ends = inst.groupBy("source_file", "piece").agg(F.max("max_attack_ltime").alias("reach"), F.max("Stime").alias("last"))
+    upto = Window.partitionBy("source_file").orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ends.withColumn("upto", F.max("reach").over(upto)).withColumn("last_active", F.coalesce(F.col("upto") >= F.col("last"), F.lit(False)))
+    step = Window.partitionBy("source_file").orderBy("piece")
+    ends = ends.select("source_file", "piece", F.lag("upto").over(step).alias("__reach"), F.lag("last").over(step).alias("__last"), F.lag("last_active").over(step).alias("__active"))
+    order = Window.partitionBy("source_file", "piece").orderBy("Stime")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = instants(flows).withColumn("attack_active", F.coalesce(F.max("max_attack_ltime").over(so_far) >= F.col("Stime"), F.lit(False)))
-    out = out.withColumn("previous_active", F.lag("attack_active").over(order)).withColumn("previous_stime", F.lag("Stime").over(order))
+    reach = F.greatest(F.max("max_attack_ltime").over(so_far), "__reach")
+    out = inst.join(ends, ["source_file", "piece"]).withColumn("attack_active", F.coalesce(reach >= F.col("Stime"), F.lit(False)))
+    out = out.withColumn("previous_active", F.coalesce(F.lag("attack_active").over(order), "__active")).withColumn("previous_stime", F.coalesce(F.lag("Stime").over(order), "__last"))
     active, before = F.col("attack_active"), F.col("previous_active")
     out = out.withColumn("confirmed_onset", active & F.coalesce(~before, F.lit(False))).withColumn("boundary_attack", active & before.isNull())
-    out = out.withColumn("run_start", F.col("confirmed_onset") | F.col("boundary_attack"))
-    return out.withColumn("run", F.when(active, F.sum(F.col("run_start").cast("int")).over(so_far)))
+    out = out.withColumn("run_start", F.col("confirmed_onset") | F.col("boundary_attack")).drop("__reach", "__last", "__active")
+    starts = out.groupBy("source_file", "piece").agg(F.count_if("run_start").alias("n"))
+    starts = carried(starts, ["source_file"], __runs=("before", F.sum("n")))
+    number = F.coalesce("__runs", F.lit(0)) + F.sum(F.col("run_start").cast("int")).over(so_far)
+    return out.join(starts, ["source_file", "piece"]).withColumn("run", F.when(active, number)).drop("__runs", "piece")
 
 
 def run_catalog(flows: DataFrame, prefix: str = "FLOW-E") -> DataFrame:

@@ -1,17 +1,18 @@
 """Total order, natural sessions, positions, purges and blocks, without a window over all rows.
 
-A session is contiguous in the total order, so positions are numbered per session and shifted by the number of
-rows in earlier sessions; sessions themselves come from distinct times, cut by day.
+Time leads the total order, so positions are ranks inside an hour, shifted by the number of rows in earlier
+hours; sessions come from distinct times, cut by day. No session, however long, is one task's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens import contracts
+from flowlens.operators.pieces import ROWS, carried, time_piece
 
-DAY = 86_400
+DAY, HOUR = 86_400, 3600
 
 
 def with_record_id(df: DataFrame, column: str = "record_id") -> DataFrame:
@@ -47,14 +48,12 @@ def session_summary(flows: DataFrame) -> DataFrame:
     )
 
 
-def positions(flows: DataFrame, by: str = "temporal_session", name: str = "position") -> DataFrame:
-    """Zero-based position in the total order over all rows, from ranks inside `by` and a sum over its few values."""
-    counts = flows.groupBy(by).agg(F.count("*").alias("__n"))
-    ahead = counts.select(F.col(by).alias("__by"), F.coalesce(F.sum("__n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    inside = F.row_number().over(Window.partitionBy(by).orderBy(*contracts.ORDER)) - 1
-    out = flows.withColumn("__inside", inside)
-    out = out.join(ahead, out[by] == ahead["__by"])
-    return out.withColumn(name, F.col("__ahead") + F.col("__inside")).drop("__by", "__ahead", "__inside")
+def positions(flows: DataFrame, name: str = "position") -> DataFrame:
+    """Zero-based position in the total order over all rows: ranks inside an hour, and a sum over hours."""
+    out = flows.withColumn("piece", time_piece(F.col("Stime"), HOUR))
+    ahead = carried(out.groupBy("piece").agg(F.count("*").alias("n")), [], __ahead=("before", F.sum("n")))
+    out = out.withColumn("__inside", F.row_number().over(Window.partitionBy("piece").orderBy(*contracts.ORDER)) - 1)
+    return out.join(ahead, "piece").withColumn(name, F.coalesce("__ahead", F.lit(0)) + F.col("__inside")).drop("piece", "__ahead", "__inside")
 
 
 def holdout_splits(flows: DataFrame, width: int) -> DataFrame:
@@ -70,14 +69,15 @@ def holdout_splits(flows: DataFrame, width: int) -> DataFrame:
         raise contracts.ContractError("at least three sessions are needed")
     if few["least"] <= width - 1:
         raise contracts.ContractError("a session has too few rows for the purge")
-    own = Window.partitionBy("temporal_session")
-    ahead = F.row_number().over(own.orderBy(*contracts.ORDER))
-    behind = F.count("*").over(own) - ahead + 1
     s, last = F.col("temporal_session"), few["last"]
     split = F.when(s == last, "test").when(s == last - 1, "validation").otherwise("train")
-    out = flows.withColumn("split", split).withColumn("__a", ahead).withColumn("__b", behind)
-    purged = ((F.col("__a") <= width - 1) & (s > 0)) | ((F.col("__b") <= width - 1) & (s < last))
-    return out.withColumn("purged", purged).drop("__a", "__b")
+    out = positions(flows, "__at")
+    # Sessions are contiguous, so a row's rank in its session is its position less the rows before the session.
+    before = Window.orderBy("temporal_session").rowsBetween(Window.unboundedPreceding, -1)  # a row per session
+    first = sizes.select("temporal_session", F.col("n").alias("__n"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
+    rank = F.col("__at") - F.col("__first")
+    purged = ((rank < width - 1) & (s > 0)) | ((F.col("__n") - 1 - rank < width - 1) & (s < last))
+    return out.join(first, "temporal_session").withColumn("split", split).withColumn("purged", purged).drop("__at", "__first", "__n")
 
 
 def crossing_sessions(flows: DataFrame) -> DataFrame:
@@ -118,16 +118,15 @@ def check_partitions(splits: DataFrame, width: int) -> None:
         before = r["max_stime"]
 
 
-def contiguous_blocks(flows: DataFrame, *extra: str, per: str = "temporal_session") -> DataFrame:
+def contiguous_blocks(flows: DataFrame, *extra: str) -> DataFrame:
     """flows with position and block: a new block where the session, the file or an extra column changes in row order."""
-    out = positions(flows, per)
-    own = Window.partitionBy(per).orderBy("position")
-    changed: Column = F.lit(False)
-    for c in ("source_file", *extra):
-        changed = changed | ~F.lag(c).over(own).eqNullSafe(F.col(c))
-    out = out.withColumn("__new", F.when(F.lag("position").over(own).isNull(), 1).otherwise(changed.cast("int")))
-    out = out.withColumn("__inside", F.sum("__new").over(own))
-    ahead = out.groupBy(per).agg(F.sum("__new").alias("__n"))
-    ahead = ahead.select(F.col(per).alias("__per"), F.coalesce(F.sum("__n").over(Window.orderBy(per).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    out = out.join(ahead, out[per] == ahead["__per"])
-    return out.withColumn("block", F.col("__ahead") + F.col("__inside") - 1).drop("__new", "__inside", "__per", "__ahead")
+    keys = ["temporal_session", "source_file", *extra]
+    out = positions(flows).withColumn("piece", F.floor(F.col("position") / ROWS))
+    lasts = out.groupBy("piece").agg(F.max_by(F.struct(*keys), "position").alias("last"))
+    lasts = lasts.select("piece", F.lag("last").over(Window.orderBy("piece")).alias("__last"))  # a row per piece
+    own = Window.partitionBy("piece").orderBy("position")
+    before = F.coalesce(F.lag(F.struct(*keys)).over(own), "__last")
+    out = out.join(lasts, "piece").withColumn("__new", F.when(F.col("position") == 0, 0).otherwise((~before.eqNullSafe(F.struct(*keys))).cast("int")))
+    ahead = carried(out.groupBy("piece").agg(F.sum("__new").alias("n")), [], __ahead=("before", F.sum("n")))
+    out = out.withColumn("__inside", F.sum("__new").over(own)).join(ahead, "piece")
+    return out.withColumn("block", F.coalesce("__ahead", F.lit(0)) + F.col("__inside")).drop("piece", "__last", "__new", "__inside", "__ahead")

@@ -6,23 +6,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.ml.functions import array_to_vector
 
+from flowlens.operators.pieces import ROWS, carried, with_overlap
+
+
+def _pieces(blocked: DataFrame, width: int) -> DataFrame:
+    """Pieces of positions that repeat the width - 1 rows before them, with each row's rank in its block (rank)."""
+    first = blocked.groupBy("block").agg(F.min("position").alias("__first"))
+    ranked = blocked.join(first, "block").withColumn("rank", F.col("position") - F.col("__first") + 1).drop("__first")
+    return with_overlap(ranked, F.col("position"), ROWS, width - 1)
+
+
+def _own(width: int):
+    return Window.partitionBy("block", "piece").orderBy("position").rowsBetween(-(width - 1), 0)
+
 
 def window_manifest(blocked: DataFrame, width: int) -> DataFrame:
     """One row per window of `width` rows: dense window_id in row order, ids, target (the last row) and extent.
 
-    blocked needs position and block. Blocks are few and contiguous, so ids are ranks inside a block plus the
-    windows of earlier blocks.
+    blocked needs position and block. Ids are ranks inside a block plus the windows of earlier blocks; blocks are
+    cut into pieces, so that a long one is many tasks'.
     """
-    own = Window.partitionBy("block").orderBy("position")
-    back = own.rowsBetween(-(width - 1), 0)
-    out = blocked.select(
-        "block", "temporal_session", "source_file", "position", F.collect_list("record_id").over(back).alias("record_ids"), F.row_number().over(own).alias("__rank"),
+    back = _own(width)
+    out = _pieces(blocked, width).select(
+        "block", "temporal_session", "source_file", "own", F.collect_list("record_id").over(back).alias("record_ids"), F.col("rank").alias("__rank"),
         F.first("Stime").over(back).alias("start_stime"), F.last("Ltime").over(back).alias("end_ltime"), F.col("record_id").alias("target_record_id"), F.col("Binary_Label").alias("target_label"),
-    ).where(F.col("__rank") >= width)
-    n = blocked.groupBy("block").agg(F.greatest(F.lit(0), F.count("*") - (width - 1)).alias("n"))
-    ahead = n.select(F.col("block").alias("__block"), F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    out = out.join(ahead, out["block"] == ahead["__block"])
-    return out.withColumn("window_id", F.col("__ahead") + F.col("__rank") - width).drop("__rank", "__block", "__ahead", "position")
+    ).where(F.col("own") & (F.col("__rank") >= width)).drop("own")
+    # Blocks go by thousands first, so that their many small counts are not summed in one task.
+    n = blocked.groupBy("block").agg(F.greatest(F.lit(0), F.count("*") - (width - 1)).alias("n")).withColumn("piece", F.floor(F.col("block") / 1000))
+    ahead = carried(n.groupBy("piece").agg(F.sum("n").alias("n")), [], __before=("before", F.sum("n")))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("piece").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = n.withColumn("__inside", inside).join(ahead, "piece").select("block", (F.coalesce("__before", F.lit(0)) + F.col("__inside")).alias("__ahead"))
+    out = out.join(ahead, "block")
+    return out.withColumn("window_id", F.col("__ahead") + F.col("__rank") - width).drop("__rank", "__ahead")
 
 
 def window_columns(manifest: DataFrame, width: int) -> DataFrame:
@@ -41,19 +56,17 @@ def realized_windows(blocked: DataFrame, features: list[str], width: int, vector
 
     Select the features before: each row is held `width` times.
     """
-    own = Window.partitionBy("block").orderBy("position")
     row = F.array(*(F.col(f).cast("float") for f in features))
-    out = blocked.select("block", F.col("record_id").alias("target_record_id"), F.col("Binary_Label").alias("target_label"), F.collect_list(row).over(own.rowsBetween(-(width - 1), 0)).alias("window"))
-    out = out.where(F.size("window") == width).withColumn("flat", F.flatten("window"))
+    out = _pieces(blocked, width).select("block", "own", "rank", F.col("record_id").alias("target_record_id"), F.col("Binary_Label").alias("target_label"), F.collect_list(row).over(_own(width)).alias("window"))
+    out = out.where(F.col("own") & (F.col("rank") >= width)).drop("own", "rank").withColumn("flat", F.flatten("window"))
     return out.withColumn("features", array_to_vector("flat")) if vector else out
 
 
 def window_means(blocked: DataFrame, features: list[str], width: int) -> DataFrame:
     """Mean of each feature over each window; running frames, nothing is copied."""
-    own = Window.partitionBy("block").orderBy("position")
-    means = [F.round(F.avg(f).over(own.rowsBetween(-(width - 1), 0)), 6).alias(f"mean_{f}") for f in features]
-    ranked = blocked.select("block", F.col("record_id").alias("target_record_id"), F.row_number().over(own).alias("__rank"), *means)
-    return ranked.where(F.col("__rank") >= width).drop("__rank")
+    means = [F.round(F.avg(f).over(_own(width)), 6).alias(f"mean_{f}") for f in features]
+    out = _pieces(blocked, width).select("block", "own", "rank", F.col("record_id").alias("target_record_id"), *means)
+    return out.where(F.col("own") & (F.col("rank") >= width)).drop("own", "rank")
 
 
 def differences(realized: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -299,3 +299,29 @@ def test_flow_view_and_sessions_agree_with_a_global_window(spark):
     s = order.positions(order.natural_sessions(f, 21_600))
     plain = s.withColumn("p", F.row_number().over(Window.orderBy(*contracts.ORDER)) - 1)
     assert plain.where("p <> position").count() == 0 and s.agg(F.max("temporal_session")).first()[0] == 29
+
+
+def test_pieces_do_not_change_results(spark, monkeypatch):
+    """With tiny pieces everything crosses borders."""
+    from flowlens.operators import pieces
+    from flowlens.sources.flows import flows
+
+    f = flows(spark, "/root/testdata/sf0.001")
+    s = order.natural_sessions(f, 21_600).cache()
+
+    def everything():
+        blocked = order.contiguous_blocks(s)
+        tables = [
+            onset.run_catalog(f), labels.prospective_labels(f, [900]), order.positions(s).select("record_id", "position"), blocked.select("record_id", "block"),
+            windows.window_manifest(blocked, 4), windows.window_means(blocked, ["dur"], 4), order.holdout_splits(s, 4).select("record_id", "split", "purged"),
+            interval.attacks_before(f.select("source_file", "Stime"), f, 3600), interval.additive_features(f.select("source_file", "Stime").distinct(), f, [600]),
+        ]
+        return [sorted(map(repr, t.collect())) for t in tables]
+
+    want = everything()
+    monkeypatch.setattr(pieces.time_piece, "__defaults__", (700,))
+    for module in (order, windows):
+        monkeypatch.setattr(module, "ROWS", 5)
+    monkeypatch.setattr(interval, "HOURS", 900)
+    for a, b in zip(everything(), want, strict=True):
+        assert a == b

@@ -14,7 +14,9 @@ An empty table gives no files and no rows. Further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +32,7 @@ from flowlens.llm import common
 
 SEQUENCE, BATCH_SEQUENCES = 2048, 256
 #: Words whose ids a task remembers at most.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000
 END_ID = 2
 
 
@@ -49,35 +51,87 @@ def _open(uri: str, mode: str):
     return system.open_output_stream(path)
 
 
+#: A word of letters that no normalisation changes but to lower case, with plain marks after it.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=?@\[-`{}~]*)").fullmatch
+#: The pre-tokenizer's pattern under which letters and marks are always apart (a fixed value of the vocabulary's format).
+_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Encoder:
     """Ids of whole texts as little-endian bytes.
 
     The vocabulary's pre-tokenizer never joins what white space separates, so the words between blanks are
     encoded apart, each once while the memo lasts; only the four blanks that every definition of white space has
-    cut a text here, any other is left to the tokenizer.
+    cut a text here, any other is left to the tokenizer. Where the pre-tokenizer is known to part letters from
+    marks, a plain word is its letters' ids, from the library's merge model, and its marks'.
     """
 
     def __init__(self, vocabulary: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(vocabulary)
         self.kind = np.dtype("<u2") if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end_id], self.kind).tobytes()
         self.memo: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        steps = json.loads(self.model.to_str())
+        cut, form = steps.get("pre_tokenizer") or {}, steps.get("normalizer") or {}
+        patterns = [x.get("pattern", {}).get("Regex") for x in cut.get("pretokenizers", [])]
+        self.apart = patterns == [_APART, None] and [x["type"] for x in form.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x100)} if self.apart else {}
+
+    def _part(self, letters: str) -> bytes:
+        out = self.parts.get(letters)
+        if out is None:
+            if len(self.parts) > MEMO_WORDS:
+                self.parts = {"": b""}
+            ids = [x.id for x in self.model.model.tokenize(letters if letters.isascii() else letters.translate(self.shown))]
+            out = self.parts[letters] = np.array(ids, self.kind).tobytes()
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        rest = []
+        for w in new:
+            known = self.older.get(w)
+            if known is None and self.apart and (m := _PLAIN(w)):
+                known = self._part(m[1].lower()) + self._marks(m[2])
+            if known is None:
+                rest.append(w)
+            else:
+                self.memo[w] = known
+        for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.memo[w] = np.array(e.ids, self.kind).tobytes()
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.parts:
+            self.parts[marks] = np.array(self.model.encode(marks, add_special_tokens=False).ids, self.kind).tobytes()
+        return self.parts[marks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO_WORDS:
-            self.memo = {"": b""}
-        memo = self.memo
-        new = list({w for words in cut for w in words if w not in memo})
-        for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, self.kind).tobytes()
-        get = memo.__getitem__
+            self.older, self.memo = self.memo, {"": b""}
+        for words in cut:
+            new = set(words).difference(self.memo)
+            if new:
+                self._learn(new)
+        get = self.memo.__getitem__
         return [b"".join(map(get, words)) + self.end for words in cut]
 
 
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(vocabulary: str, end_id: int) -> Encoder:
+    """One per worker process, so that its memo outlives a task."""
+    if (vocabulary, end_id) not in _encoders:
+        _encoders[vocabulary, end_id] = Encoder(vocabulary, end_id)
+    return _encoders[vocabulary, end_id]
+
+
 class SequenceFile:
     """Writes ids on end into sequences of one length."""
 
@@ -121,7 +175,7 @@ def write_sequences(docs: DataFrame, vocabulary: str, folder: str, id_col: str =
             if not b.num_rows:
                 continue
             if out is None:
-                part, encoder = b.column(2)[0].as_py(), Encoder(vocabulary, end_id)
+                part, encoder = b.column(2)[0].as_py(), encoder_of(vocabulary, end_id)
                 path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
                 out = SequenceFile(f"{path}.arrow", encoder.kind, length)
             ids.append(b.column(0))

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import common
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words, in lower-cased text. Splitting costs a fifth of extracting the words by the opposite pattern.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Terms of a window whose lists are intersected before its other words are compared.
 RAREST = 2
@@ -28,7 +29,7 @@ BROADCAST_ROWS = 200_000
 
 
 def tokens(text):
-    return F.regexp_extract_all(common.ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
+    return F.array_remove(F.split(common.ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
     named = matches.select("doc_id", "words").distinct().join(_small(owners), "words").select("doc_id", F.explode("owners").alias("item")).distinct()
     named = named.groupBy("doc_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
     found = hit.join(named, "doc_id").withColumnRenamed("doc_id", "__doc")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(common.ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD)).cast("long").alias("n_words"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.size(tokens(F.col(text_col))).cast("long").alias("n_words"))
     out = base.join(found, base["doc_id"] == found["__doc"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items_of = F.coalesce("items", F.array().cast("array<string>"))

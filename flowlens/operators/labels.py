@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from flowlens import contracts
 from flowlens.functions.scalars import event_id
 from flowlens.operators.onset import attack_states, five_numbers
-from flowlens.operators.pieces import carried, time_piece
+from flowlens.operators.pieces import carried, numbered, time_piece
 
 
 def derived_onsets(flows: DataFrame, prefix: str = "DERIVED-E") -> DataFrame:
-    """Confirmed onsets as a catalog; the first instant of a file never is one. Only the onsets are numbered globally."""
+    """Confirmed onsets as a catalog; the first instant of a file never is one."""
     found = attack_states(flows).where("confirmed_onset").select("source_file", F.col("Stime").alias("onset_stime"))
-    return found.select(event_id(prefix, F.row_number().over(Window.orderBy("source_file", "onset_stime"))).alias("event_id"), "source_file", "onset_stime")
+    found = numbered(found, "number", "onset_stime", [], ["source_file"])
+    return found.select(event_id(prefix, F.col("number")).alias("event_id"), "source_file", "onset_stime")
 
 
 def check_onsets(flows: DataFrame, onsets: DataFrame) -> None:

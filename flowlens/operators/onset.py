@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens import contracts
 from flowlens.functions.scalars import event_id, unix_to_iso
-from flowlens.operators.pieces import carried, time_piece
+from flowlens.operators.pieces import carried, numbered, time_piece
 
 
 def _file() -> WindowSpec:
@@ -52,10 +52,7 @@ def attack_states(flows: DataFrame) -> DataFrame:
 
 
 def run_catalog(flows: DataFrame, prefix: str = "FLOW-E") -> DataFrame:
-    """One row per attack run, with an event id in order of file, onset and run.
-
-    Only the runs, not the flows, are numbered globally.
-    """
+    """One row per attack run, with an event id in order of file, onset and run."""
     s = attack_states(flows).where("attack_active")
     mixed = (F.col("attack_count") > 0) & (F.col("attack_count") < F.col("flow_count"))
     runs = s.groupBy("source_file", "run").agg(
@@ -64,9 +61,8 @@ def run_catalog(flows: DataFrame, prefix: str = "FLOW-E") -> DataFrame:
         F.count("*").alias("bins"), F.sum(mixed.cast("int")).cast("bigint").alias("mixed_bins"),
         F.sum("flow_count").alias("flow_count"), F.sum("attack_count").alias("attack_count"),
     )
-    number = F.row_number().over(Window.orderBy("source_file", "onset_stime", "run"))
-    return runs.select(
-        event_id(prefix, number).alias("event_id"), "source_file", "run", "onset_stime", "last_stime", "end_ltime", "previous_stime",
+    return numbered(runs, "number", "onset_stime", ["run"], ["source_file"]).select(
+        event_id(prefix, F.col("number")).alias("event_id"), "source_file", "run", "onset_stime", "last_stime", "end_ltime", "previous_stime",
         (F.col("onset_stime") - F.col("previous_stime")).alias("gap_seconds"), (F.col("last_stime") - F.col("onset_stime")).alias("span_seconds"),
         unix_to_iso(F.col("onset_stime")).alias("onset_utc"), "confirmed_onset", "bins", "mixed_bins", "flow_count", "attack_count",
     )

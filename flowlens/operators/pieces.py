@@ -30,3 +30,14 @@ def with_overlap(df: DataFrame, key: Column, size: int, overlap: int) -> DataFra
     at = F.when(key >= (piece + 1) * size - overlap, F.array(piece, piece + 1)).otherwise(F.array(piece))
     out = df.withColumn("__own", piece).withColumn("piece", F.explode(at))
     return out.withColumn("own", F.col("piece") == F.col("__own")).drop("__own")
+
+
+def numbered(df: DataFrame, name: str, time: str, order: list[str], lead: list[str] | None = None) -> DataFrame:
+    """df with its rows numbered from 1 in the order of `lead`, `time` and `order`: ranks inside pieces, and a sum over pieces."""
+    lead = lead or []
+    out = df.withColumn("piece", time_piece(F.col(time)))
+    counts = out.groupBy(*lead, "piece").agg(F.count("*").alias("n"))
+    before = Window.orderBy(*lead, "piece").rowsBetween(Window.unboundedPreceding, -1)  # a row per piece
+    counts = counts.select(*lead, "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ahead"))
+    inside = F.row_number().over(Window.partitionBy(*lead, "piece").orderBy(time, *order))
+    return out.withColumn("__inside", inside).join(counts, [*lead, "piece"]).withColumn(name, F.col("__ahead") + F.col("__inside")).drop("piece", "__ahead", "__inside")

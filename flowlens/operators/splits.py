@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens import contracts
+from flowlens.operators.pieces import numbered
 
 
 def fold_boundaries(positioned: DataFrame, folds: int) -> list[int]:
@@ -80,7 +81,7 @@ def event_boundaries(labels: DataFrame, shares: tuple[float, float] = (0.6, 0.2)
     Events are the distinct onsets of positive rows; they are numbered once and four of them looked at.
     """
     events = labels.where("future_attack = 1").select("source_file", "next_onset").distinct()
-    ranked = events.select("next_onset", F.row_number().over(Window.orderBy("next_onset", "source_file")).alias("i"))
+    ranked = numbered(events, "i", "next_onset", ["source_file"])
     n = events.count()
     if n < 3:
         raise contracts.ContractError("at least three positive events are needed")

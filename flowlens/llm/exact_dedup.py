@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import common
 
-#: A chunk has at least 256 characters and ends after a blank that follows one of these, or has 2,048.
-CHUNK = r"(?s).{255}.{0,1791}?[bdhlpt] |.{1,2048}"
+#: A chunk has at least 256 characters and ends after a blank that follows two such letters, or has 2,048.
+CHUNK = r"(?s).{253}.{0,1791}?[aeou][dlpt] |.{1,2048}"
 
 
 def normalised(text):
@@ -38,9 +38,14 @@ def chunk_store(docs: DataFrame, **cols: str) -> DataFrame:
 
 
 def collisions(store: DataFrame) -> DataFrame:
-    """Chunks whose digest another chunk shares, with the number that tells them apart."""
-    shared = store.groupBy("digest").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("chunk")).alias("all")).where("n > 1")
-    return shared.select("digest", F.posexplode("all").alias("number", "chunk"))
+    """Chunks whose digest another chunk shares, with the number that tells them apart.
+
+    Digests are counted first; a chunk's characters move again only if its digest is shared.
+    """
+    shared = store.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    if shared.isEmpty():
+        return store.sparkSession.createDataFrame([], "digest string, number int, chunk string")
+    return store.join(shared, "digest").groupBy("digest").agg(F.sort_array(F.collect_list("chunk")).alias("all")).select("digest", F.posexplode("all").alias("number", "chunk"))
 
 
 def recipes(docs: DataFrame, **cols: str) -> DataFrame:

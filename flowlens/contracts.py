@@ -18,6 +18,24 @@ class ContractError(ValueError):
     """The input breaks an operator's contract."""
 
 
+class InvalidFeatures(ContractError):
+    """A request lacks features or has values that are not numbers (422)."""
+
+    code = "INVALID_FEATURES"
+
+
+class ModelNotLoaded(RuntimeError):
+    """No artifact is there (503)."""
+
+    code = "MODEL_NOT_LOADED"
+
+
+class PredictionFailed(RuntimeError):
+    """Scoring failed (500)."""
+
+    code = "PREDICTION_ERROR"
+
+
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
@@ -58,3 +76,8 @@ def require_schema(df: DataFrame, other: DataFrame) -> DataFrame:
 
 def total_order() -> list[Column]:
     return [F.col(c) for c in ORDER]
+
+
+def require_disjoint(a: DataFrame, b: DataFrame, column: str) -> None:
+    """No value of the column is in both."""
+    require_empty(a.select(column).join(b.select(column), column, "left_semi"), f"{column} in both")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import alert_id, severity_dashboard, severity_mail, severity_rank, severity_scenario
 
+#: The demonstration's answers, in turn (fixed values).
+MOCK = [("DDoS", 0.97), ("Suspicious Traffic", 0.82), ("Normal Traffic", 0.42)]
 #: Predictions that the history keeps, and that are loaded or sent at once.
 KEPT, AUTOLOAD = 100, 20
 
@@ -58,3 +60,9 @@ def threat_types(history: DataFrame, n: int = 5) -> DataFrame:
 
 def most_recent(history: DataFrame) -> DataFrame:
     return history.agg(F.max_by(F.struct("prediction", "confidence", "timestamp"), F.struct("timestamp", "seq")).alias("r")).select("r.*")
+
+
+def mock_predictions(requests: DataFrame, column: str = "seq") -> DataFrame:
+    """Each request, numbered from 0, with the next of the fixed answers."""
+    answers = F.array(*(F.struct(F.lit(p).alias("prediction"), F.lit(c).alias("confidence")) for p, c in MOCK))
+    return requests.withColumn("a", F.get(answers, (F.col(column) % len(MOCK)).cast("int"))).select(*requests.columns, "a.prediction", "a.confidence")

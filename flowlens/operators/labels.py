@@ -78,3 +78,14 @@ def label_examples(labels: DataFrame) -> DataFrame:
     found = labels.groupBy("horizon", "future_attack").agg(F.min_by(F.struct("source_file", "Stime", "seconds_to_attack"), first).alias("row"))
     obeys = F.coalesce(F.col("row.seconds_to_attack") <= F.col("horizon"), F.lit(False)) == (F.col("future_attack") == 1)
     return found.select("horizon", "future_attack", "row.source_file", "row.Stime", "row.seconds_to_attack", obeys.alias("obeys_rule"))
+
+
+def with_features(labels: DataFrame, features: DataFrame) -> DataFrame:
+    """Labels with the features of their instant; features must be unique by instant (many to one)."""
+    contracts.require_unique(features, ["source_file", "Stime"], "repeated instants among the features")
+    return labels.join(features, ["source_file", "Stime"], "left")
+
+
+def at_instants(labels: DataFrame, instants: DataFrame) -> DataFrame:
+    """The labels whose instant is among the given ones."""
+    return labels.join(instants, ["source_file", "Stime"], "left_semi")

@@ -78,7 +78,7 @@ class Artifact:
     def load(cls, spark: SparkSession, path: str) -> Artifact:
         row = spark.read.schema("manifest string").json(f"{path}/manifest").first()
         if row is None:
-            raise contracts.ContractError(f"no artifact at {path}")
+            raise contracts.ModelNotLoaded(f"no artifact at {path}")
         m = json.loads(row["manifest"])
         if lacking := [k for k in ("algorithm", "features", "width", "raw_columns", "preprocessor") if k not in m]:
             raise contracts.ContractError(f"the manifest lacks {lacking}")
@@ -93,6 +93,13 @@ class Artifact:
         """Check columns, preprocess, select, window, score, decode. blocked: raw rows with block and position."""
         return score(self.model, self.windows(blocked))
 
+    def predict_last(self, blocked: DataFrame) -> DataFrame:
+        """The answer to a request: the last window's prediction only."""
+        lacking = [c for c in self.raw_columns if c not in blocked.columns]
+        if lacking:
+            raise contracts.InvalidFeatures(f"missing features: {', '.join(lacking[:10])}")
+        return self.predict(blocked).orderBy(F.desc("block"), F.desc("target_record_id")).limit(1)
+
 
 def run_grid(parts: Callable[[int, str], tuple[DataFrame, DataFrame]], algorithms: list[str], variants: list[str], folds: list[int], results: str, spark: SparkSession, features_of: Callable[[int, str], int], **how) -> DataFrame:
     """Fit and score each (algorithm, variant, fold) not yet in the results table, appending a row each; resumable.

@@ -130,3 +130,11 @@ def contiguous_blocks(flows: DataFrame, *extra: str) -> DataFrame:
     ahead = carried(out.groupBy("piece").agg(F.sum("__new").alias("n")), [], __ahead=("before", F.sum("n")))
     out = out.withColumn("__inside", F.sum("__new").over(own)).join(ahead, "piece")
     return out.withColumn("block", F.coalesce("__ahead", F.lit(0)) + F.col("__inside")).drop("piece", "__last", "__new", "__inside", "__ahead")
+
+
+def disorder(rows: DataFrame, by: str = "source_file", order: str = "record_id") -> DataFrame:
+    """Per group: rows in input order that lie before the row ahead of them by (Stime, Ltime), and repeated order keys."""
+    own = Window.partitionBy(by).orderBy(order)
+    now = F.struct("Stime", "Ltime")
+    each = rows.select(by, (now < F.lag(now).over(own)).alias("back"), (F.col(order) == F.lag(order).over(own)).alias("again"))
+    return each.groupBy(by).agg(F.count("*").alias("n_rows"), F.count_if("back").alias("out_of_order"), F.count_if("again").alias("repeated"))

@@ -134,3 +134,11 @@ def check_splits(splits: DataFrame, purge: int) -> None:
     contracts.require_unique(splits, ["source_file", "Stime", "horizon"])
     shared = s.where("future_attack = 1").groupBy("source_file", "next_onset").agg(F.count_distinct("split").alias("n")).where("n > 1")
     contracts.require_empty(shared, "events in two splits")
+
+
+def train_nesting(folded: DataFrame) -> DataFrame:
+    """Per fold after the first: training rows of the fold before that it lacks (none, if nested) and rows it adds."""
+    train = folded.where("role = 'train'").select("fold", "record_id")
+    before = train.select((F.col("fold") + 1).alias("fold"), "record_id", F.lit(True).alias("before"))
+    both = train.withColumn("now", F.lit(True)).join(before, ["fold", "record_id"], "full").where(F.col("fold") <= F.lit(folded.agg(F.max("fold")).first()[0]))
+    return both.where("fold > 1").groupBy("fold").agg(F.count_if(F.col("now").isNull()).alias("lost"), F.count_if(F.col("before").isNull()).alias("added"))

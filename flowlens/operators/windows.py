@@ -73,3 +73,9 @@ def differences(realized: DataFrame, manifest: DataFrame) -> DataFrame:
     """Targets and labels that only one of the two has; none if the windows are those of the manifest."""
     a, b = (d.select("block", "target_record_id", "target_label") for d in (realized, manifest))
     return a.exceptAll(b).unionAll(b.exceptAll(a))
+
+
+def window_rows(manifest: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows that a manifest names: window_id, step (0 is the oldest) and all columns of rows; one join by id."""
+    named = manifest.select("window_id", F.posexplode("record_ids").alias("step", "record_id"))
+    return named.join(rows, "record_id")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import scalars
 from flowlens.operators import audit, clean, history, interval, labels, metrics, models, onset, order, prep, report, scenario, splits, windows
+from flowlens.sources import files, sinks
 from flowlens.sources.flows import flows, predictions
+from flowlens.streaming import flows as streams
 
 LOOKBACKS = (600, 1800, 3600)
 HORIZONS = [60, 300, 900, 1800]
@@ -364,6 +366,45 @@ def decided_history(spark: SparkSession, sf: str) -> DataFrame:
     return history.filtered(history.with_decisions(h, d), status="resolved", threat="Normal Traffic").select("seq", "alert_id", "status")
 
 
+def mock_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return history.mock_predictions(_history(spark, sf).select("seq"))
+
+
+def scenario_windows(spark: SparkSession, sf: str) -> DataFrame:
+    events = _history(spark, sf).select("seq", "prediction", "confidence")
+    return files.scenario_windows(events, 3, ["sport", "dur", "sbytes", "Sload", "ct_srv_src", "sloss", "sttl", "other"]).drop("prediction", "confidence")
+
+
+def labelled_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of attack-free instants with their features."""
+    f = flows(spark, sf)
+    lab = labels.at_instants(_labels(spark, sf), interval.attack_free(f.select("source_file", "Stime"), f, 600))
+    feats = interval.additive_features(lab, f, [600]).select("source_file", "Stime", "completed_flows_600s", "total_bytes_600s")
+    return labels.with_features(lab, feats).select("source_file", "Stime", "horizon", "future_attack", "completed_flows_600s", "total_bytes_600s")
+
+
+def window_rows(spark: SparkSession, sf: str) -> DataFrame:
+    f = _blocked(spark, sf)
+    return windows.window_rows(windows.window_manifest(f, WIDTH), f.select("record_id", "sbytes")).select("window_id", "step", "record_id", "sbytes")
+
+
+def train_nesting(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.train_nesting(_folds(spark, sf))
+
+
+def disorder(spark: SparkSession, sf: str) -> DataFrame:
+    return order.disorder(flows(spark, sf).withColumn("record_id", (F.col("record_id") * 7919) % 10007 * 1_000_000 + F.col("record_id")))
+
+
+def record_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.id_digest(flows(spark, sf))
+
+
+def stream_sliding_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming form of windowed measures, run to the end of what is there."""
+    return streams.drained(streams.sliding_measures(streams.table_stream(flows(spark, sf))))
+
+
 # Models
 
 

@@ -237,4 +237,20 @@ s AS (SELECT """
     "threat_types": f"WITH {_HIST} SELECT prediction, min(seq) AS first_seq, count(*) AS n FROM hist GROUP BY ALL ORDER BY 2 LIMIT 5",
     "most_recent_prediction": f"WITH {_HIST} SELECT prediction, confidence FROM hist ORDER BY timestamp DESC, seq DESC LIMIT 1",
     "decided_history": f"WITH {_HIST} SELECT seq, concat_ws('-', seq::VARCHAR, prediction, prediction, model) AS alert_id, 'resolved' AS status FROM hist WHERE seq % 9 = 0 AND prediction = 'Normal Traffic'",
+    "mock_predictions": "SELECT event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'DDoS' WHEN 1 THEN 'Suspicious Traffic' ELSE 'Normal Traffic' END AS prediction, CASE event_id % 3 WHEN 0 THEN 0.97 WHEN 1 THEN 0.82 ELSE 0.42 END::DOUBLE AS confidence FROM events",
+    "scenario_windows": f"""WITH {_HIST}, e AS (SELECT seq, confidence, lower(prediction) LIKE '%syn flood%' AS a, CASE WHEN lower(prediction) LIKE '%medium%' THEN 1.5 WHEN lower(prediction) LIKE '%high%' THEN 2.0 ELSE 1.0 END::DOUBLE AS p, unnest([0, 1, 2]) AS step FROM hist)
+SELECT seq, step, 49152::DOUBLE + step AS sport, CASE WHEN a THEN greatest(0.001::DOUBLE, 0.04::DOUBLE / p) ELSE 1.2 END::DOUBLE AS dur, CASE WHEN a THEN 1200 * p ELSE 320 END * (step + 1) / 3::DOUBLE AS sbytes,
+  CASE WHEN a THEN 900000 * p ELSE 1200 END * (step + 1) / 3::DOUBLE AS Sload, CASE WHEN a THEN 40 * p ELSE 2 END::DOUBLE AS ct_srv_src, CASE WHEN a THEN confidence * 8 ELSE 0 END::DOUBLE AS sloss, CASE WHEN a THEN 254 ELSE 31 END::DOUBLE AS sttl, 0::DOUBLE AS other FROM e""",
+    "labelled_features": f"""{_LAB}, u AS (SELECT DISTINCT source_file, Stime FROM labels),
+a AS (SELECT u.source_file, u.Stime, count(f.Ltime) AS completed_flows_600s, coalesce(sum(sbytes + dbytes), 0)::BIGINT AS total_bytes_600s, coalesce(sum(Binary_Label), 0) AS prior
+  FROM u LEFT JOIN flows f ON f.source_file = u.source_file AND f.Ltime > u.Stime - 600 AND f.Ltime <= u.Stime GROUP BY ALL)
+SELECT source_file, Stime, horizon, future_attack, completed_flows_600s, total_bytes_600s FROM labels JOIN a USING (source_file, Stime) WHERE prior = 0""",
+    "window_rows": f"""{_W}{_SESS}, {_BLOCK}, l AS (SELECT block, position, row_number() OVER (PARTITION BY block ORDER BY position) AS r FROM blocked),
+e AS (SELECT block, position, row_number() OVER (ORDER BY position) - 1 AS window_id FROM l WHERE r >= 5)
+SELECT window_id, (b.position - e.position + 4)::INT AS step, record_id, sbytes FROM e JOIN blocked b ON b.block = e.block AND b.position BETWEEN e.position - 4 AND e.position""",
+    "train_nesting": f"""{_W}{_SESS}, {_FOLDS}, t AS (SELECT fold, record_id FROM folds WHERE role = 'train')
+SELECT f.fold, (SELECT count(*) FROM t a WHERE a.fold = f.fold - 1 AND a.record_id NOT IN (SELECT record_id FROM t b WHERE b.fold = f.fold)) AS lost, (SELECT count(*) FROM t a WHERE a.fold = f.fold AND a.record_id NOT IN (SELECT record_id FROM t b WHERE b.fold = f.fold - 1)) AS added FROM (SELECT unnest([2, 3])::INT AS fold) f""",
+    "disorder": f"""WITH {FLOWS_SQL}, o AS (SELECT *, (record_id * 7919) % 10007 * 1000000 + record_id AS k FROM flows),
+l AS (SELECT *, lag(Stime) OVER w AS s, lag(Ltime) OVER w AS e, lag(k) OVER w AS pk FROM o WINDOW w AS (PARTITION BY source_file ORDER BY k))
+SELECT source_file, count(*) AS n_rows, count(*) FILTER (Stime < s OR (Stime = s AND Ltime < e)) AS out_of_order, count(*) FILTER (k = pk) AS repeated FROM l GROUP BY ALL""",
 }

@@ -105,8 +105,38 @@ def synthetic_scenario(spark: SparkSession, n: int, seed: int = 42) -> DataFrame
     )
 
 
-def scenario_windows(events: DataFrame, width: int, columns: list[str]) -> DataFrame:
-    """Each event as `width` rows whose values ramp up to its own, stronger for stronger predictions."""
-    power = F.when(F.col("prediction").contains("High"), 2.0).when(F.col("prediction").contains("Medium"), 1.5).otherwise(1.0)
-    each = events.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(width))))
-    return each.withColumns({c: F.col(c) * power * (0.5 + 0.5 * F.col("step") / width) for c in columns})
+#: A scenario window's values (fixed): for an attack, for other traffic, whether an attack's grows with its
+#: intensity, and whether the value grows along the window.
+_WINDOW = {
+    "proto_tcp": (1.0, 1.0, False, False), "state_REQ": (1.0, 0.0, False, False), "state_CON": (0.0, 1.0, False, False), "service_http": (1.0, 1.0, False, False),
+    "dsport": (80.0, 80.0, False, False), "sbytes": (1200.0, 320.0, True, True), "dbytes": (24.0, 460.0, False, True), "Spkts": (180.0, 18.0, True, True),
+    "Dpkts": (3.0, 20.0, False, True), "Sload": (900000.0, 1200.0, True, True), "Dload": (35.0, 1400.0, False, True), "sttl": (254.0, 31.0, False, False),
+    "dttl": (0.0, 29.0, False, False), "smeansz": (64.0, 96.0, False, False), "dmeansz": (8.0, 110.0, False, False), "ct_srv_src": (40.0, 2.0, True, False),
+    "ct_srv_dst": (40.0, 2.0, True, False), "ct_dst_src_ltm": (35.0, 2.0, True, False), "ct_src_dport_ltm": (35.0, 1.0, True, False), "ct_state_ttl": (6.0, 1.0, False, False),
+    "Sintpkt": (0.2, 80.0, False, False), "Dintpkt": (0.0, 60.0, False, False), "tcprtt": (0.0, 0.02, False, False), "synack": (0.0, 0.01, False, False),
+    "ackdat": (0.0, 0.01, False, False), "dloss": (0.0, 1.0, False, False),
+}
+
+
+def scenario_windows(events: DataFrame, width: int, features: list[str]) -> DataFrame:
+    """Each event (prediction, confidence) as `width` rows of the features; those without a rule are 0."""
+    p = F.lower("prediction")
+    attack = p.contains("syn flood")
+    power = F.when(p.contains("medium"), 1.5).when(p.contains("high"), 2.0).otherwise(1.0)
+    each = events.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    along = (F.col("step") + 1) / F.lit(float(width))
+
+    def value(name: str):
+        if name == "sport":
+            return F.lit(49152.0) + F.col("step")
+        if name == "dur":
+            return F.when(attack, F.greatest(F.lit(0.001), 0.04 / power)).otherwise(1.2)
+        if name == "sloss":
+            return F.when(attack, F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.5)) * 8)).otherwise(0.0)
+        if name not in _WINDOW:
+            return F.lit(0.0)
+        hit, calm, stronger, grows = _WINDOW[name]
+        out = F.when(attack, hit * power if stronger else F.lit(hit)).otherwise(calm)
+        return out * along if grows else out
+
+    return each.withColumns({f: value(f) for f in features})

@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _shared(spark: SparkSession) -> str:
+    path = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='flowlens-')}"
+    return f"{path.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def table_stream(table: DataFrame) -> DataFrame:
+    """A table as a file stream: written once to the shared folder in order of completion."""
+    path = f"{_shared(table.sparkSession)}/in"
+    table.repartitionByRange("Ltime").write.parquet(path)
+    return table.sparkSession.readStream.schema(table.schema).parquet(path)
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """The append output of a stream over all that is there now, as a table in the shared folder."""
+    out = _shared(stream.sparkSession)
+    query = stream.writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/out")
+
+
 def with_event_time(flows: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Flows with the event time at which they completed, and a watermark."""
     return flows.withColumn("ended", F.timestamp_seconds("Ltime")).withWatermark("ended", late)

@@ -95,3 +95,24 @@ def test_capped_history(spark, tmp_path):
     for epoch in range(3):
         each(spark.createDataFrame([(epoch * 10 + i,) for i in range(2)], "timestamp int"), epoch)
     assert sorted(r.timestamp for r in spark.read.parquet(str(tmp_path / "h/v0")).collect()) == [11, 20, 21]
+
+
+def test_errors_have_codes(spark, rows, tmp_path):
+    with pytest.raises(contracts.ModelNotLoaded) as e:
+        (tmp_path / "none/manifest").mkdir(parents=True)
+        models.Artifact.load(spark, str(tmp_path / "none"))
+    assert e.value.code == "MODEL_NOT_LOADED"
+    p = prep.Preprocessor(("proto",)).fit(rows.where("split = 'train'"), ["signal", "noise"])
+    a = models.Artifact("decision_tree", p, ["signal"], 3, None, ["signal", "noise", "proto"])
+    a.model = models.classifier("decision_tree", depth=3).fit(a.windows(rows.where("split = 'train'")))
+    with pytest.raises(contracts.InvalidFeatures):
+        a.predict_last(rows.drop("noise"))
+    (last,) = a.predict_last(rows.where("split = 'test'")).collect()
+    assert last.target_record_id == 119
+
+
+def test_disjoint(spark):
+    a, b = spark.range(3), spark.range(3, 5)
+    contracts.require_disjoint(a, b, "id")
+    with pytest.raises(contracts.ContractError):
+        contracts.require_disjoint(a, a, "id")

@@ -40,3 +40,13 @@ def test_entry_imports_without_a_session():
     root = Path(__file__).resolve().parents[1]
     code = "import __spark_entry__ as e; assert len(e.queries()) > 60 and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+def test_without_sql_runs(spark, name):
+    rows = registry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert rows
+    if name == "top_features_rf":
+        assert rows[0].feature == "signal"
+    if name == "forest_scores":
+        assert all(0 <= r.y_score <= 1 and r.y_pred == int(r.y_score >= 0.5) for r in rows)

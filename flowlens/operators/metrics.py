@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import safe_divide
+from flowlens.operators.pieces import carried
 
 
 def confusion(y: str = "y_true", p: str = "y_pred") -> dict[str, Column]:
@@ -33,23 +34,50 @@ def by_type(scored: DataFrame) -> DataFrame:
     return rates(own.crossJoin(F.broadcast(calm)))  # one row
 
 
+#: Pieces into which a group's range of scores is cut for running sums.
+PIECES = 256
+
+
 def _levels(scored: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
-    return scored.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
+    """Per distinct score of a group: positives, negatives, and both summed over all lower and all higher scores.
+
+    Running sums are taken inside pieces of the score's range and carried over pieces, so that a group of any
+    number of distinct scores is many tasks'.
+    """
+    out = scored.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
+    span = out.groupBy(*by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    out = _with(out, span, by).withColumn("piece", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PIECES)).otherwise(0)).drop("lo", "hi")
+    per = out.groupBy(*by, "piece").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    per = carried(per, by, lower=("before", F.sum("n")), higher_pos=("after", F.sum("p")), higher_neg=("after", F.sum("n")))
+    own = Window.partitionBy(*by, "piece").orderBy("score")
+    below, above = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(1, Window.unboundedFollowing)
+    for name, column, frame in (("in_lower", "neg", below), ("in_pos", "pos", above), ("in_neg", "neg", above)):
+        out = out.withColumn(name, F.coalesce(F.sum(column).over(frame), F.lit(0)))
+    out = _with(out, per, [*by, "piece"])
+    total = lambda a, b: (F.coalesce(a, F.lit(0)) + F.col(b)).cast("double")
+    return out.select(*by, "score", "pos", "neg", total("lower", "in_lower").alias("neg_below"), total("higher_pos", "in_pos").alias("pos_above"), total("higher_neg", "in_neg").alias("neg_above"))
+
+
+def _with(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of a table of one row per key; null keys match, no key is one row."""
+    if not keys:
+        return df.crossJoin(F.broadcast(small))
+    named = small.withColumnsRenamed({k: f"__{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return df.join(named, match).drop(*(f"__{k}" for k in keys))
 
 
 def roc_auc(scored: DataFrame, *by: str, score: str = "y_score", label: str = "y_true") -> DataFrame:
-    """Rank statistic, ties count a half; null if a class is missing. Windows run over distinct scores only."""
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = _levels(scored, list(by), score, label).withColumn("won", F.col("pos") * (below + 0.5 * F.col("neg")).cast("double"))
+    """Rank statistic, ties count a half; null if a class is missing."""
+    won = _levels(scored, list(by), score, label).withColumn("won", F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return won.groupBy(*by).agg(F.round(F.try_divide(F.sum("won"), pairs), 8).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame, *by: str, score: str = "y_score", label: str = "y_true") -> DataFrame:
     """Sum over distinct scores, falling, of the recall gained times the precision; null without a positive row."""
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = F.sum("pos").over(down).cast("double")
-    step = _levels(scored, list(by), score, label).withColumn("gain", F.col("pos") * got / (got + F.sum("neg").over(down)))
+    got = F.col("pos_above") + F.col("pos")
+    step = _levels(scored, list(by), score, label).withColumn("gain", F.col("pos") * got / (got + F.col("neg_above") + F.col("neg")))
     return step.groupBy(*by).agg(F.round(F.try_divide(F.sum("gain"), F.sum("pos").cast("double")), 8).alias("average_precision"))
 
 

@@ -103,12 +103,18 @@ class _Memo(dict):
 
 
 def vectors(docs: DataFrame, vocabulary: list[bytes], id_col: str, text_col: str) -> DataFrame:
-    """doc_id, terms (places in the vocabulary), tf, n_words."""
+    """doc_id, terms (places in the vocabulary), tf, n_words; and a row per task, marked by `counts`, with its terms' documents."""
     places = {t: i for i, t in enumerate(vocabulary)}
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(places)
+        memo, documents, n_docs = _Memo(places), Counter(), 0
+
+        def out(ids: pa.Array, terms: list, tf: list, n: list, counts: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array([counts] * len(n))], ["doc_id", "terms", "tf", "n_words", "counts"])
+
+        kind = None
         for b in batches:
+            kind = b.column(0).type
             if len(memo) > MEMO_WORDS:
                 memo = _Memo(places)
             terms, tf, n = [], [], []
@@ -117,11 +123,16 @@ def vectors(docs: DataFrame, vocabulary: list[bytes], id_col: str, text_col: str
                 terms.append(sorted(hit))
                 tf.append([hit[t] for t in terms[-1]])
                 n.append(len(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32())), pa.array(n, pa.int64())], ["doc_id", "terms", "tf", "n_words"])
+                documents.update(hit.keys())
+            n_docs += len(n)
+            yield out(b.column(0), terms, tf, n, False)
+        if kind is not None:
+            seen_terms = sorted(documents)
+            yield out(pa.nulls(1, kind), [seen_terms], [[documents[t] for t in seen_terms]], [n_docs], True)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return common.map_arrow(rows, seen, f"doc_id {kind}, terms array<int>, tf array<int>, n_words long")
+    return common.map_arrow(rows, seen, f"doc_id {kind}, terms array<int>, tf array<int>, n_words long, counts boolean")
 
 
 def weigh(terms: list, tf: list, n_words: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -211,23 +222,30 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     marks = common.stored(marks.where(common.remainder(F.col("doc_id"), folds) != held), "marks")
     sizes = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
-    draw = lambda salt: F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    if len(sizes) < 2:
-        constant = sizes.get(1, 0) / total if total else 0.5
+
+    def without_examples(constant: float) -> DataFrame:
         out = rows.select("doc_id", held_out, F.lit(constant).alias("score"))
         return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumn("evidence", F.array().cast("array<struct<doc_id:string,cosine:float>>"))
+
+    draw = lambda salt: F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
+    if len(sizes) < 2:
+        return without_examples(sizes.get(1, 0) / total if total else 0.5)
     drawn = common.stored(rows.join(marks.where(draw("terms") < min(1.0, fit_docs / total)), "doc_id"), "fit-docs")
     fitted = {r["label"]: r["n"] for r in drawn.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = choose_terms(label_counts(drawn), fitted.get(1, 0), fitted.get(0, 0), vocabulary, least_g2) if len(fitted) > 1 else []
-    seen = common.stored(vectors(rows, chosen, "doc_id", "text"), "vectors")
-    n = seen.count()
+    every = common.stored(vectors(rows, chosen, "doc_id", "text"), "vectors")
+    seen, tasks = every.where("not counts").drop("counts"), every.where("counts")
+    n = tasks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     df = np.zeros(len(chosen) + 1)
-    for r in seen.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():
+    each = tasks.select(F.explode(F.arrays_zip("terms", "tf")).alias("x")).groupBy(F.col("x.terms").alias("t")).agg(F.sum("x.tf").alias("df"))
+    for r in each.collect():
         df[r["t"]] = r["df"]
     df[-1] = n
     idf = (1 + np.log((1 + n) / (1 + df))).astype(np.float32)
     rate = F.when(F.col("label") == 1, F.lit(min(1.0, 2 * examples / sizes[1]))).otherwise(F.lit(min(1.0, 2 * examples / sizes[0])))
     sample = seen.join(marks.withColumn("u", draw("examples")).where(F.col("u") < rate), "doc_id").orderBy("u", "doc_id").toPandas()
+    if sample["label"].nunique() < 2 or len(sample) < 4:
+        return without_examples(sizes[1] / total)
     x = weigh(sample["terms"], sample["tf"], sample["n_words"].to_numpy(), idf)
     y, ids = sample["label"].to_numpy(), sample["doc_id"].astype(str).to_numpy()
     stands = np.array([sizes[k] / max(1, (y == k).sum()) for k in (0, 1)])[y]

@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch of texts holds at most; it bounds a Python worker's memory.
-BATCH_ROWS = 400
+#: Rows and bytes that one Arrow batch of texts holds at most (a longer text is a batch of its own); they bound a
+#: Python worker's memory.
+BATCH_ROWS, BATCH_BYTES = 400, 8 << 20
 WHITE = r"[\x20\x09-\x0D]+"
 NON_WHITE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,6 +88,7 @@ def remainder(doc_id, n: int):
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with batches small enough for long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(f, schema)
 
 

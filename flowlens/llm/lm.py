@@ -9,7 +9,7 @@ text has a proper probability. Training is numpy, by noise-contrastive estimatio
 noise, on whole texts of a sample of at most `sample_docs` training documents (expected), drawn by a hash of the
 id; counts cover all.
 
-The `head` most frequent words are shipped to the scoring tasks; all rarer words get their counts by a join.
+The most frequent words, `head` at most, are shipped to the scoring tasks; all rarer words get their counts by a join.
 
 Null texts count as empty: one end token. If nothing was learned, every word counts 0 and the model is uniform.
 Repeated rows are scored on their own, also of one id. Empty tables give empty results; further columns are
@@ -71,6 +71,21 @@ def counts(texts: DataFrame) -> DataFrame:
     return common.map_arrow(texts.select("text"), partial, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counted: DataFrame, head: int) -> list[tuple[str, int]]:
+    """The most frequent words, `head` at most, all those of some least count.
+
+    A histogram of counts (sixteenths of powers of two) finds that count, so that no task sends more than its share.
+    """
+    level = F.floor(F.log2("c") * 16)
+    kept, least = 0, None
+    for r in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        if (kept := kept + r["n"]) > head:
+            break
+        least = r["level"]
+    rows = counted.where(level >= least).collect() if least is not None else []
+    return sorted(((r["word"], r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 class LogBilinear:
     """Context vectors, place vectors, output vectors and biases."""
 
@@ -175,7 +190,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     total, types = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, types = total + ends, types + (ends > 0)
     denominator = np.log10(total + ADD * (types + 1))
-    top = [(r["word"].encode(), r["c"]) for r in counted.orderBy(F.desc("c"), "word").limit(head).collect()]
+    top = [(w.encode(), c) for w, c in most_frequent(counted, head)]
     scorer = Scorer(top, ends)
     # Mass and types of each class; the single words leave theirs.
     last = F.expr("right(hex(word), 4)")

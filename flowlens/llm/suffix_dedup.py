@@ -5,8 +5,10 @@ among its 24-byte grams, which depends on its bytes alone; strings with equal by
 anchor, and anchors deal the work out. A document's strings with the same anchor are neighbours and form a span.
 
 1. All spans are listed as (anchor, hash of the span, document, place). Of equal spans the first stays, all
-   others are repeated as a whole; an anchor that occurs once, or whose spans are all equal, is done.
-2. The bytes of the remaining spans go to their anchor's task. There a suffix array is built by the
+   others are repeated as a whole (within a document, as in periodic text, at once); an anchor that occurs once, or
+   whose spans are all equal, is done.
+2. The bytes of the remaining spans go to their anchor's task. Each string reaches far to one side of its anchor, so
+   spans that agree with no other on either side are done. Of the others a suffix array is built by the
    difference-cover algorithm: suffixes at places 1 and 2 modulo 3 are sorted by triples and named, names are
    recursed on until they differ, the remaining suffixes are sorted by one character and a name, and both
    orders are merged. Neighbours in the array are compared by their first `length` bytes; of each run of equal
@@ -90,11 +92,11 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 
 
 def anchored(body: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Spans of all texts: text, place in it, number of strings, anchor, hash of the span."""
+    """Spans of all texts: text, place in it, number of strings, anchor, hash of the span, place of the anchor in the span."""
     last = len(body) - length + 1  # strings start below
     empty = np.zeros(0, np.int64)
     if last <= 0:
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty, empty
     running = common.running_hash(body)
     i = np.arange(len(body) - GRAM + 1)
     value = common.span_hash(running, i, i + GRAM)
@@ -110,7 +112,7 @@ def anchored(body: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     inside = np.arange(last) + length <= at[1:][text]
     starts = np.flatnonzero(inside)
     if not len(starts):
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty, empty
     text, place = text[starts], place[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
@@ -119,7 +121,17 @@ def anchored(body: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     lo, anchor = starts[cut], place[cut]
     span = common.span_hash(running, lo, lo + n + length - 1)
     span = common.mix(span ^ ((anchor - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return text[cut], lo - at[text[cut]], n, value[anchor].view(np.int64), span.view(np.int64)
+    return text[cut], lo - at[text[cut]], n, value[anchor].view(np.int64), span.view(np.int64), anchor - lo
+
+
+def _repeats(text: np.ndarray, anchor: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Spans that equal an earlier one of the same text."""
+    by = np.lexsort((np.arange(len(text)), span, anchor, text))
+    same = np.zeros(len(by), bool)
+    same[1:] = (text[by][1:] == text[by][:-1]) & (anchor[by][1:] == anchor[by][:-1]) & (span[by][1:] == span[by][:-1])
+    out = np.zeros(len(by), bool)
+    out[by] = same
+    return out
 
 
 def _wider(least: np.ndarray, place: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +141,10 @@ def _wider(least: np.ndarray, place: np.ndarray, by: int) -> tuple[np.ndarray, n
 
 
 def spans(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, text to anchor, span, doc_id, lo, n."""
+    """doc_id, text to anchor, span, doc_id, lo, n, off, again.
+
+    Rows that are marked again are strings known to be repeated, neighbours united, under an anchor of their own.
+    """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,11 +154,23 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
             for x, y in groups:
                 for p in range(at[x], max(at[x] + 1, at[y] - length + 1), PIECE if y - x == 1 else len(body) + 1):
                     upto = min(at[y], p + PIECE + length - 1) if y - x == 1 else at[y]
-                    text, lo, n, anchor, span = anchored(body[p:upto], np.clip(at[x : y + 1] - p, 0, upto - p), length)
+                    text, lo, n, anchor, span, off = anchored(body[p:upto], np.clip(at[x : y + 1] - p, 0, upto - p), length)
                     lo = lo + (p - at[x] if y - x == 1 else 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(span), pa.array(ids[x:y][text]), pa.array(lo.astype(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "span", "doc_id", "lo", "n"])
+                    again = _repeats(text, anchor, span)
+                    yield out(ids[x:y][text[~again]], anchor[~again], span[~again], lo[~again], n[~again], off[~again], False)
+                    if again.any():
+                        t, a, m = text[again], lo[again], n[again]
+                        new = np.ones(len(t), bool)
+                        new[1:] = (t[1:] != t[:-1]) | (a[1:] != a[:-1] + m[:-1])
+                        first = np.flatnonzero(new)
+                        t, a, m = t[first], a[first], np.add.reduceat(m, first)
+                        key = common.mix(ids[x:y][t].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + a.astype(np.uint64)).view(np.int64)
+                        yield out(ids[x:y][t], key, a, a, m, np.zeros(len(a)), True)
+
+    def out(ids, anchor, span, lo, n, off, again: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(span), pa.array(ids), pa.array(lo.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int16)), pa.array(np.full(len(ids), again))], ["anchor", "span", "doc_id", "lo", "n", "off", "again"])
 
-    return common.map_arrow(docs, listed, "anchor long, span long, doc_id long, lo long, n int")
+    return common.map_arrow(docs, listed, "anchor long, span long, doc_id long, lo long, n int, off short, again boolean")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -158,12 +185,12 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def span_bytes(docs: DataFrame, asked: DataFrame, length: int, most_spans: int) -> DataFrame:
-    """key, doc_id, lo, body: the bytes of the asked spans; of anchors with very many spans, string by string."""
+    """key, doc_id, lo, off, body: the bytes of the asked spans; of anchors with very many spans, string by string."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for b in batches:
-            keys, ids, los, bodies = [], [], [], []
+            keys, ids, los, offs, bodies = [], [], [], [], []
             for doc, z, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 text = press.decompress(z)
                 for w in want:
@@ -172,6 +199,7 @@ def span_bytes(docs: DataFrame, asked: DataFrame, length: int, most_spans: int)
                         keys.append(w["anchor"])
                         ids.append(doc)
                         los.append(lo)
+                        offs.append(w["off"])
                         bodies.append(text[lo : lo + n + length - 1])
                         continue
                     for p in range(lo, lo + n):
@@ -179,11 +207,33 @@ def span_bytes(docs: DataFrame, asked: DataFrame, length: int, most_spans: int)
                         keys.append(int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True))
                         ids.append(doc)
                         los.append(p)
+                        offs.append(-1)
                         bodies.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(los, pa.int64()), pa.array(bodies, pa.binary())], ["key", "doc_id", "lo", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(los, pa.int64()), pa.array(offs, pa.int16()), pa.array(bodies, pa.binary())], ["key", "doc_id", "lo", "off", "body"])
 
-    want = asked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "n", "spans")).alias("want"))
-    return common.map_arrow(packed(docs).join(want, "doc_id"), cut, "key long, doc_id long, lo long, body binary")
+    want = asked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "n", "off", "spans")).alias("want"))
+    return common.map_arrow(packed(docs).join(want, "doc_id"), cut, "key long, doc_id long, lo long, off short, body binary")
+
+
+def agreeing(bodies: list[bytes], keys: np.ndarray, offs: np.ndarray, length: int) -> np.ndarray:
+    """Spans that may share a string with another of their key.
+
+    A string has length - GRAM bytes beside its anchor's gram, so half of them or more lie on one side of it; on
+    that side the spans of equal strings agree. Strings dealt out one by one (off < 0) all may.
+    """
+    half = (length - GRAM) // 2
+    sizes = np.array([len(x) for x in bodies])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    running = common.running_hash(np.frombuffer(b"".join(bodies), np.uint8))
+    keep = offs < 0
+    anchor = at[:-1] + offs
+    for has, start, stop in ((offs >= half, anchor - half, anchor), (sizes >= offs + GRAM + half, anchor + GRAM, anchor + GRAM + half)):
+        i = np.flatnonzero(has & (offs >= 0))
+        if len(i):
+            side = common.mix(common.span_hash(running, start[i], stop[i]) ^ common.mix(keys[i].view(np.uint64)))
+            _, where, count = np.unique(side, return_inverse=True, return_counts=True)
+            keep[i[count[where] > 1]] = True
+    return keep
 
 
 def repeated_in(bodies: list[bytes], ids: np.ndarray, los: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,33 +280,38 @@ def repeated_spans(bytes_: DataFrame, length: int) -> DataFrame:
     """doc_id, lo, hi of repeated strings: a suffix array for each run of whole anchors."""
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bodies, ids, los, held, group, last = [], [], [], 0, 0, None
-
-        def out(n: int) -> pa.RecordBatch:
-            found = repeated_in(bodies[:n], np.array(ids[:n]), np.array(los[:n]), length)
-            del bodies[:n], ids[:n], los[:n]
+        bodies, keys, ids, los, offs, held, group, last = [], [], [], [], [], 0, 0, None
+
+        def out() -> pa.RecordBatch:
+            keep = np.flatnonzero(agreeing(bodies, np.array(keys, np.int64), np.array(offs, np.int64), length))
+            z = np.zeros(0, np.int64)
+            found = repeated_in([bodies[i] for i in keep], np.array(ids)[keep], np.array(los)[keep], length) if len(keep) else (z, z, z)
+            for x in (bodies, keys, ids, los, offs):
+                x.clear()
             return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["doc_id", "lo", "hi"])
 
         for b in batches:
             done: list[tuple[int, int]] = []
-            for key, doc, lo, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, doc, lo, off, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != last:
                     if held >= ARRAY_BYTES // 2:
-                        yield out(len(bodies))
+                        yield out()
                         held = 0
                     last, group = key, len(bodies)
                 elif len(body) == length and bodies and len(bodies) > group and bodies[-1] == body:
                     done.append((doc, lo))  # a string by itself, as the one before it, which starts earlier
                     continue
                 bodies.append(body)
+                keys.append(key)
                 ids.append(doc)
                 los.append(lo)
+                offs.append(off)
                 held += len(body) + 1
             if done:
                 d, p = np.array(done).T
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p), pa.array(p + length)], ["doc_id", "lo", "hi"])
         if bodies:
-            yield out(len(bodies))
+            yield out()
 
     dealt = bytes_.repartition("key").sortWithinPartitions("key", "doc_id", "lo")
     return common.map_arrow(dealt, arrays, "doc_id long, lo long, hi long")
@@ -300,8 +355,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     first = F.coalesce(F.lag("span").over(by.orderBy("span", "doc_id", "lo")) != F.col("span"), F.lit(True))
     each = spans(named, length).withColumn("first", first)
     each = each.withColumn("all", F.count("*").over(by)).withColumn("spans", F.sum(F.col("first").cast("int")).over(by))
-    met = common.stored(each.where("all > 1 and (not first or spans > 1)").drop("all", "span"), "spans")
-    whole = met.where("not first").select("doc_id", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
-    asked = met.where("first").select("anchor", "doc_id", "lo", "n", "spans")
+    met = common.stored(each.where("again or all > 1 and (not first or spans > 1)").drop("all", "span"), "spans")
+    whole = met.where("again or not first").select("doc_id", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
+    asked = met.where("first and not again").select("anchor", "doc_id", "lo", "n", "off", "spans")
     found = repeated_spans(span_bytes(named, asked, length, most_spans), length)
     return without(rows, whole.union(found))

@@ -1,17 +1,21 @@
 """Near-duplicate detection by HyperMinHash.
 
-A document's set is its distinct word shingles. Each of 192 buckets has a hash of its own and keeps, of the
+A document's set is its distinct word shingles. Each of 240 buckets has a hash of its own and keeps, of the
 smallest hash of the set, the leading-zero count (6 bits) and the next 10 bits (mantissa). Equal sets are one
 class from the start (a 128-bit digest of the sorted shingle hashes), so that copies never meet in pairs. The
-compressed registers are cut into 32 bands of 6; documents that share a band are candidates. A candidate pair is
+compressed registers are cut into 40 bands of 6; documents that share a band are candidates. A candidate pair is
 kept if its Jaccard estimate, the share of equal registers corrected for registers that collide by chance, is
 not far below the limit, and becomes a link only after comparing the full sets.
 
-Bands are worked off in rounds, so that no band of any size is expanded into all its pairs: each round pairs a
-band's members with one leader (with several, once bands are few), links are verified, components found, and a
-band goes on without its past leaders as long as it holds documents of different components. A band ends when
-all its members are in one component or all its pairs have been met, so that the components are those of all
-verified candidate pairs. Two documents at the limit of 0.8 share no band with probability 6e-5.
+No band is expanded into all its pairs. First each document meets one leader, a smallest id of its bands, and verified
+links give components; a band within one component is done. In the others, members of different components still have
+to meet: a band with up to 2,048 members outside its largest component is compared by registers inside tasks, that
+component in blocks, and only pairs that the estimate lets pass come out: first the best one for each member, and
+once the links among these have joined components, all that still lie between different ones. A more crowded one, as of many documents
+around one shared passage, is dealt out again under each pair of its key and a later band's, whose six registers
+must agree too, and so on. Two
+documents at the limit of 0.8 share no band with probability 5e-6, and share but one, which only matters in a band
+that is dealt out again, with 8e-5; at 0.9 both are below 1e-12.
 
 Null, empty and blank texts have the empty set and link with nothing. A text shorter than a shingle is one
 shingle. Rows that share an id are one node. Empty tables give empty results; further columns are ignored.
@@ -24,18 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import common
 
-REGISTERS, ROWS = 192, 6
+REGISTERS, ROWS = 240, 6
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
 #: Standard errors below the limit at which an estimate still sends a pair to verification.
 SLACK = 4.5
-#: Leaders of a band in each round after the first.
-LEADERS = 8
+#: Members of a band outside its largest component up to which it is compared by registers, the members of that
+#: component in a block, and the number of agreeing bands from which any number is compared.
+CROWD, BLOCK, DEEPEST = 2048, 1024, 12
 _U = np.uint64
 _HASHES = common.mix(np.arange(1, 2 * REGISTERS + 1, dtype=_U) * _U(0xD1B54A32D192ED03)) | _U(1)
 
@@ -117,8 +122,8 @@ def signatures(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col:
     return common.map_arrow(rows, signed, "doc_id long, n_shingles long, digest binary, registers binary")
 
 
-def band_members(classes: DataFrame) -> DataFrame:
-    """band, node: the bands that two classes or more share."""
+def band_rows(classes: DataFrame) -> DataFrame:
+    """key, nth, node: each class under its bands, numbered."""
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,17 +131,117 @@ def band_members(classes: DataFrame) -> DataFrame:
             key = np.tile(np.arange(1, BANDS + 1, dtype=_U), (len(r), 1))
             for k in range(ROWS):
                 key = common.mix(key * _U(0x9E3779B97F4A7C15) + r[:, :, k])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["band", "node"])
+            nth = np.tile(np.arange(BANDS, dtype=np.int32), len(r))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(nth), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["key", "nth", "node"])
 
-    each = common.stored(common.map_arrow(classes.select("node", "registers"), banded, "band long, node long"), "bands")
-    shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    return each.join(shared, "band", "left_semi")
+    return common.map_arrow(classes.select("node", "registers"), banded, "key long, nth int, node long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Of the pairs (a, b), those that the estimate lets pass and whose full sets reach the limit."""
+def in_components(members: DataFrame, component: DataFrame) -> DataFrame:
+    """members of bands that hold two components or more, with theirs (c)."""
+    own = common.stored(members.join(component, "node", "left").select("key", "nth", "node", F.coalesce("component", "node").alias("c")), "own")
+    open_ = common.stored(own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "open")
+    return common.stored(own.join(open_, "key", "left_semi"), "members")
+
+
+def _least(percent: int) -> float:
     limit = percent / 100
-    least = limit - SLACK * float(np.sqrt(limit * (1 - limit) / REGISTERS))
+    return limit - SLACK * float(np.sqrt(limit * (1 - limit) / REGISTERS))
+
+
+def _rows_of(column: pa.Array) -> np.ndarray:
+    return np.array([np.frombuffer(x, np.uint16) for x in column.to_pylist()], np.uint16).reshape(-1, REGISTERS)
+
+
+def likely_in_bands(members: DataFrame, classes: DataFrame, percent: int, best: bool, plain: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and that the estimate lets pass, compared inside tasks.
+
+    best: only the pair with the highest estimate for each member. plain: keys are bands as they are, and a pair
+    that shares several comes out of the first only.
+    """
+    least = _least(percent)
+
+    def compared(nodes: np.ndarray, parts: np.ndarray, nth: int, n: np.ndarray, r: np.ndarray) -> tuple[list, list]:
+        out_a, out_b = [], []
+        top, mate = np.full(len(nodes), least), np.full(len(nodes), -1)
+        for i in range(len(nodes) - 1):
+            other = i + 1 + np.flatnonzero((parts[i + 1 :] != parts[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])))
+            for at in range(0, len(other), BLOCK):
+                j = other[at : at + BLOCK]
+                near = estimate(r[j], r[i], n[j].astype(float), float(n[i]))
+                if best:
+                    k = int(near.argmax())
+                    if near[k] >= top[i]:
+                        top[i], mate[i] = near[k], j[k]
+                    up = near > top[j]
+                    top[j[up]], mate[j[up]] = near[up], i
+                    continue
+                j = j[near >= least]
+                if plain and len(j):
+                    j = j[(r[j] == r[i]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == nth]
+                out_a += np.minimum(nodes[i], nodes[j]).tolist()
+                out_b += np.maximum(nodes[i], nodes[j]).tolist()
+        if best:
+            i = np.flatnonzero(mate >= 0)
+            out_a, out_b = np.minimum(nodes[i], nodes[mate[i]]).tolist(), np.maximum(nodes[i], nodes[mate[i]]).tolist()
+        return out_a, out_b
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            now = [c.to_numpy() for c in b.columns[:5]] + [_rows_of(b.column(5))]
+            held = now if held is None else [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
+            cut = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
+            if len(cut):  # whole keys; the last may go on
+                yield pairs_of([x[: cut[-1]] for x in held])
+                held = [x[cut[-1] :] for x in held]
+        if held is not None:
+            yield pairs_of(held)
+
+    def pairs_of(rows: list[np.ndarray]) -> pa.RecordBatch:
+        cut = [0, *(np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1), len(rows[0])]
+        out_a, out_b = [], []
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            got = compared(rows[1][x:y], rows[2][x:y], int(rows[3][x]), rows[4][x:y], rows[5][x:y])
+            out_a += got[0]
+            out_b += got[1]
+        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    rows = members.join(classes, "node").select("key", "node", "c", "nth", "n", "registers").repartition("key").sortWithinPartitions("key")
+    return common.map_arrow(rows, met, "a long, b long").distinct()
+
+
+def remaining_pairs(members: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Likely pairs (a, b) of different components in the open bands (best: one for each member); crowded bands are dealt out again."""
+    out, depth = None, 1
+    while True:
+        per = members.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("top"))
+        bands = common.stored(per.select("key", (F.col("m") - F.col("top.n")).alias("strays"), F.col("top.c").alias("__top"), F.ceil(F.col("top.n") / BLOCK).alias("blocks")), "sizes")
+        deepest = depth >= DEEPEST
+        # Members of the largest component lie in one block each, all others in every block.
+        small = members.join(bands if deepest else bands.where(F.col("strays") <= CROWD), "key")
+        own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")))
+        small = small.withColumn("block", F.explode(F.when(F.col("c") == F.col("__top"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+        small = common.stored(small.select(F.when(F.col("blocks") > 1, F.xxhash64("key", "block")).otherwise(F.col("key")).alias("key"), "nth", "node", "c"), "small")
+        found = likely_in_bands(small, classes, percent, best, depth == 1)
+        out = common.stored(found if out is None else out.union(found), "likely")
+        many = None if deepest else common.stored(members.join(bands.where(F.col("strays") > CROWD).select("key"), "key", "left_semi"), "crowded")
+        if many is None or many.isEmpty():
+            return out.distinct()
+        asked = many.select("node").distinct()
+        asked = F.broadcast(asked) if asked.count() <= 200_000 else asked
+        later = common.stored(band_rows(classes.join(asked, "node", "left_semi")), "later").toDF("__key", "__nth", "node")
+        again = many.join(later, "node").where("__nth > nth").select(F.xxhash64("key", "__key").alias("key"), F.col("__nth").alias("nth"), "node", "c")
+        again = common.stored(again, "again")
+        split = common.stored(again.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "split")
+        members, depth = common.stored(again.join(split, "key", "left_semi"), "members"), depth + 1
+        if members.isEmpty():
+            return out.distinct()
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose sizes and registers let them reach the limit."""
+    least = _least(percent)
     sign = classes.select("node", "n", "registers")
     both = pairs.join(sign.toDF("a", "na", "ra"), "a").join(sign.toDF("b", "nb", "rb"), "b")
     # Sets whose sizes differ by more than the limit allows cannot reach it.
@@ -144,13 +249,15 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
 
     def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ra, rb = (np.array([np.frombuffer(x, np.uint16) for x in b.column(i).to_pylist()]).reshape(-1, REGISTERS) for i in (3, 4))
-            keep = estimate(ra, rb, b.column(1).to_numpy().astype(float), b.column(2).to_numpy().astype(float)) >= least
-            yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in b.columns[5:]], ["a", "b"])
+            keep = estimate(_rows_of(b.column(4)), _rows_of(b.column(5)), b.column(2).to_numpy().astype(float), b.column(3).to_numpy().astype(float)) >= least
+            yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in b.columns[:2]], ["a", "b"])
+
+    return common.map_arrow(both.select("a", "b", "na", "nb", "ra", "rb"), hopeful, "a long, b long")
+
 
-    likely = common.stored(common.map_arrow(both.select("a", "b", "na", "nb", "ra", "rb").select("a", "na", "nb", "ra", "rb", "a", "b").toDF("i", "na", "nb", "ra", "rb", "a", "b"), hopeful, "a long, b long"), "likely")
-    # Full sets travel once per class, then once per pair as differences of hashes need both sides in one place.
-    asked = likely.select("a").union(likely.select("b")).distinct()
+def verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """Of the pairs (a, b), a stored table, those whose full sets reach the limit. A set is made once per class."""
+    asked = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
 
     def set_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,17 +265,17 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sets[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["node", "set"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    wanted = texts.join(F.broadcast(asked.toDF("node")) if likely.count() <= 200_000 else asked.toDF("node"), "node", "left_semi")
+    wanted = texts.join(F.broadcast(asked) if pairs.count() <= 200_000 else asked, "node", "left_semi")
     sets = common.stored(common.map_arrow(wanted, set_of, "node long, set binary"), "sets")
-    full = likely.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    full = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                common_ = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common_ >= percent * (len(x) + len(y) - common_))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep, pa.bool_())) for x in b.columns[:2]], ["a", "b"])
 
     return common.map_arrow(full.select("a", "b", "sa", "sb"), linked, "a long, b long")
@@ -176,33 +283,28 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
-    spark = docs.sparkSession
     signed = common.stored(signatures(docs, size, id_col, text_col), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("first"))
     classes = common.stored(classes.select(F.col("first.doc_id").alias("node"), F.col("first.n_shingles").alias("n"), F.col("first.registers").alias("registers"), "digest"), "classes")
-    members = common.stored(band_members(classes), "members")
-    links, component, leaders = None, None, 1
-    while True:
-        rank = Window.partitionBy("band").orderBy("node")
-        if leaders == 1:  # the first round: a band's smallest id; aggregated, so that large bands are not sorted in one task
-            heads = common.stored(members.groupBy("band").agg(F.min("node").alias("a")), "heads")
-        else:
-            heads = common.stored(members.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= leaders).select("band", F.col("node").alias("a")), "heads")
-        pairs = members.join(heads, "band").where("a < node").select("a", F.col("node").alias("b")).distinct()
-        if component is not None:
-            named = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-            pairs = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
-        found = verified(common.stored(pairs, "pairs"), classes, docs, percent, size, id_col, text_col)
-        links = common.stored(found if links is None else links.union(found), "links")
-        component = common.components(links)
-        # Bands without their leaders, as long as they hold two components.
-        members = members.join(heads.withColumnRenamed("a", "node"), ["band", "node"], "left_anti")
-        of = members.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        open_ = of.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-        members = common.stored(common.stored(of, "of").join(common.stored(open_, "open"), "band", "left_semi").select("band", "node"), "members")
-        if members.isEmpty():
+    bands = common.stored(band_rows(classes), "bands")
+    heads = bands.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    members = common.stored(bands.join(heads, "key"), "members")
+    # Each class meets the one leader it shares most bands with; all else is left to the bands themselves.
+    shared = members.where("a < node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    pairs = shared.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    pairs = common.stored(likely(pairs, classes, percent), "likely")
+    links = common.stored(verified(pairs, docs, percent, size, id_col, text_col), "links")
+    component = common.components(links)
+    still = in_components(members.select("key", "nth", "node"), component)
+    for best in (True, False):
+        if still.isEmpty():
             break
-        leaders = LEADERS
+        more = common.stored(remaining_pairs(still, classes, percent, best).join(pairs, ["a", "b"], "left_anti"), "more")
+        links = common.stored(links.union(verified(more, docs, percent, size, id_col, text_col)), "links")
+        component = common.components(links)
+        if best:
+            pairs = pairs.union(more)
+            still = in_components(still.drop("c"), component)
     # Every document to its class, every class to its component; both joins read tables, so hot classes can be split.
     named = classes.join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     named = common.stored(named, "named")

@@ -66,7 +66,8 @@ def test_bands_full_of_different_components(spark, monkeypatch):
     rows = passages()
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     want = linked(sets_of(rows, 4), 80)
-    monkeypatch.setattr(neardup, "FEW_PAIRS", 1)
+    monkeypatch.setattr(neardup, "CROWD", 6)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 80, 4).collect()} == want
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -89,19 +90,23 @@ class Encoder:
             if len(self.parts) > MEMO_WORDS:
                 self.parts = {"": b""}
             ids = [x.id for x in self.model.model.tokenize(letters if letters.isascii() else letters.translate(self.shown))]
-            out = self.parts[letters] = np.array(ids, self.kind).tobytes()
+            out = self.parts[letters] = struct.pack(f"<{len(ids)}{'HI'[self.kind.itemsize == 4]}", *ids)
         return out
 
     def _learn(self, new: set[str]) -> None:
-        rest = []
+        rest, memo, older, apart, parts = [], self.memo, self.older, self.apart, self.parts
         for w in new:
-            known = self.older.get(w)
-            if known is None and self.apart and (m := _PLAIN(w)):
-                known = self._part(m[1].lower()) + self._marks(m[2])
+            known = older.get(w)
+            if known is None and apart:
+                if w.isalpha() and w.isascii():
+                    known = self._part(w.lower())
+                elif m := _PLAIN(w):
+                    letters = m[1].lower()
+                    known = (parts.get(letters) or self._part(letters)) + (parts.get(m[2]) or self._marks(m[2]))
             if known is None:
                 rest.append(w)
             else:
-                self.memo[w] = known
+                memo[w] = known
         for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.memo[w] = np.array(e.ids, self.kind).tobytes()
 

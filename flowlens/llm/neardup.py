@@ -1,21 +1,21 @@
 """Near-duplicate detection by HyperMinHash.
 
-A document's set is its distinct word shingles. Each of 240 buckets has a hash of its own and keeps, of the
+A document's set is its distinct word shingles. Each of 480 buckets has a hash of its own and keeps, of the
 smallest hash of the set, the leading-zero count (6 bits) and the next 10 bits (mantissa). Equal sets are one
 class from the start (a 128-bit digest of the sorted shingle hashes), so that copies never meet in pairs. The
-compressed registers are cut into 40 bands of 6; documents that share a band are candidates. A candidate pair is
-kept if its Jaccard estimate, the share of equal registers corrected for registers that collide by chance, is
-not far below the limit, and becomes a link only after comparing the full sets.
-
-No band is expanded into all its pairs. First each document meets one leader, a smallest id of its bands, and verified
-links give components; a band within one component is done. In the others, members of different components still have
-to meet: a band with up to 2,048 members outside its largest component is compared by registers inside tasks, that
-component in blocks, and only pairs that the estimate lets pass come out: first the best one for each member, and
-once the links among these have joined components, all that still lie between different ones. A more crowded one, as of many documents
-around one shared passage, is dealt out again under each pair of its key and a later band's, whose six registers
-must agree too, and so on. Two
-documents at the limit of 0.8 share no band with probability 5e-6, and share but one, which only matters in a band
-that is dealt out again, with 8e-5; at 0.9 both are below 1e-12.
+first 240 compressed registers are cut into 40 bands of 6; documents that share a band are candidates. A candidate
+pair is kept if its Jaccard estimate, the share of equal registers corrected for registers that collide by chance,
+is not far below the limit, and becomes a link only after comparing the full sets.
+
+No band is expanded into all its pairs. First each document meets one leader, a smallest id of its bands, and
+verified links give components; a band within one component is done. In the others, members of different components
+still have to meet: a band with up to 2,048 members outside its largest component is compared by registers inside
+tasks, that component in blocks, and only pairs that the estimate lets pass come out: first the best one for each
+member, and once the links among these have joined components, all that still lie between different ones. A more
+crowded band, as of many documents around one shared passage, is dealt out again under each pair of its key and a
+later band's, whose six registers must agree too, and so on. Two documents at the limit of 0.8 share no band with
+probability 5e-6, and share but one, which only matters in a band that is dealt out again, with 8e-5; the estimate
+fails them with 3e-5. At 0.9 all three are below 1e-10.
 
 Null, empty and blank texts have the empty set and link with nothing. A text shorter than a shingle is one
 shingle. Rows that share an id are one node. Empty tables give empty results; further columns are ignored.
@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import common
 
-REGISTERS, ROWS = 240, 6
-BANDS = REGISTERS // ROWS
+#: Registers; the first BANDS * ROWS make bands, all serve the estimate.
+REGISTERS, BANDS, ROWS = 480, 40, 6
 MANTISSA = 10
 #: Standard errors below the limit at which an estimate still sends a pair to verification.
-SLACK = 4.5
+SLACK = 4.0
 #: Members of a band outside its largest component up to which it is compared by registers, the members of that
 #: component in a block, and the number of agreeing bands from which any number is compared.
 CROWD, BLOCK, DEEPEST = 2048, 1024, 12
@@ -127,7 +127,7 @@ def band_rows(classes: DataFrame) -> DataFrame:
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = np.array([np.frombuffer(x, np.uint16) for x in b.column(1).to_pylist()], _U).reshape(-1, BANDS, ROWS)
+            r = np.array([np.frombuffer(x, np.uint16) for x in b.column(1).to_pylist()], _U).reshape(-1, REGISTERS)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
             key = np.tile(np.arange(1, BANDS + 1, dtype=_U), (len(r), 1))
             for k in range(ROWS):
                 key = common.mix(key * _U(0x9E3779B97F4A7C15) + r[:, :, k])
@@ -178,7 +178,7 @@ def likely_in_bands(members: DataFrame, classes: DataFrame, percent: int, best:
                     continue
                 j = j[near >= least]
                 if plain and len(j):
-                    j = j[(r[j] == r[i]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == nth]
+                    j = j[(r[j] == r[i])[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2).argmax(1) == nth]
                 out_a += np.minimum(nodes[i], nodes[j]).tolist()
                 out_b += np.maximum(nodes[i], nodes[j]).tolist()
         if best:

@@ -56,7 +56,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     two = np.arange(2, n, 3)
     sample = np.concatenate([one, two])
     triple = (s[sample] << 42) | (s[sample + 1] << 21) | s[sample + 2]
-    order = np.argsort(triple, kind="stable")
+    order = np.argsort(triple)
     new = np.empty(len(order), bool)
     new[0] = True
     sorted_ = triple[order]
@@ -72,7 +72,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     # The rest: by character and the rank of what follows.
     rest = np.arange(0, n, 3)
     key = (s[rest] << 21) | rank[rest + 1]
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)
     rest, key = rest[by], key[by]
     # Merge: for each sampled suffix the number of remaining ones before it.
     far = (s[rest] << 42) | (s[rest + 1] << 21) | rank[rest + 2]

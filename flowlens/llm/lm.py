@@ -6,8 +6,8 @@ words share classes by their last two bytes. Its predicted vector is a sum of co
 vector of its place; log-probabilities are normalised over all classes by batched matrix products. Within a
 shared class a word has its smoothed share of the class, which keeps one place for unseen words, so that every
 text has a proper probability. Training is numpy, by noise-contrastive estimation with class frequencies as the
-noise, on whole texts of a sample of at most `sample_docs` training documents (expected), drawn by a hash of the
-id; counts cover all.
+noise, on all training rows: a start on the whole texts of `sample_docs` documents (expected), drawn by a hash of the
+id, then a pass of every task over its rows from that start, whose parameters are averaged by tokens.
 
 The most frequent words, `head` at most, are shipped to the scoring tasks; all rarer words get their counts by a join.
 
@@ -18,6 +18,7 @@ ignored.
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,12 +31,15 @@ from pyspark.sql import functions as F
 from flowlens.llm import common
 
 CONTEXT, WIDTH, NOISE = 5, 24, 8
+#: Neighbouring tokens of one step of the pass over all rows, and the noise classes that they share.
+STEP, JOINT = 1024, 64
 #: Output classes: single words, shared classes, and the end of a text.
 SINGLE, SHARED = 191, 64
 CLASSES = SINGLE + SHARED + 1
 END = CLASSES - 1
 #: Words whose counts every task holds.
 HEAD = 100_000
+#: Documents of the start.
 SAMPLE_DOCS = 1500
 ADD = 0.1
 #: Distinct words that a counting task holds before it passes them on.
@@ -97,10 +101,29 @@ class LogBilinear:
         self.place = np.full((CONTEXT, WIDTH), 1.0, np.float32)
         self.bias = np.log(self.noise).astype(np.float32)
         self.rng = rng
+        self.seen = [np.full(x.shape, 1e-3, np.float32) for x in self.parameters()]
+
+    def parameters(self) -> tuple[np.ndarray, ...]:
+        return self.r, self.q, self.place, self.bias
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.parameters()])
+
+    def put(self, flat: np.ndarray) -> None:
+        at = 0
+        for x in self.parameters():
+            x[...] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
+
+    def step(self, grads: list[np.ndarray], n: int, rate: float) -> None:
+        """AdaGrad with the mean gradient of n tokens."""
+        for x, g, s in zip(self.parameters(), grads, self.seen, strict=True):
+            g /= n
+            s += g * g
+            x -= rate * g / np.sqrt(s)
 
     def train(self, context: np.ndarray, target: np.ndarray, passes: int = 4, batch: int = 512, rate: float = 0.15) -> None:
         """Noise-contrastive estimation with AdaGrad; the partition function is taken as 1 while training."""
-        seen = [np.full(x.shape, 1e-3, np.float32) for x in (self.r, self.q, self.place, self.bias)]
         shift = np.log(NOISE * self.noise).astype(np.float32)
         for _ in range(passes):
             order = self.rng.permutation(len(target))
@@ -115,15 +138,52 @@ class LogBilinear:
                 error = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
                 error[:, 0] -= 1
                 pull = np.einsum("bk,bkd->bd", error, out)
-                grads = [np.zeros_like(x) for x in (self.r, self.q, self.place, self.bias)]
+                grads = [np.zeros_like(x) for x in self.parameters()]
                 np.add.at(grads[0], c, pull[:, None, :] * self.place)
                 np.add.at(grads[1], tried, error[:, :, None] * predicted[:, None, :])
                 grads[2] = (held * pull[:, None, :]).sum(0)
                 np.add.at(grads[3], tried, error)
-                for x, g, s in zip((self.r, self.q, self.place, self.bias), grads, seen, strict=True):
-                    g /= len(i)
-                    s += g * g
-                    x -= rate * g / np.sqrt(s)
+                self.step(grads, len(i), rate)
+
+    def learn(self, classes: np.ndarray, at: np.ndarray, rate: float = 0.05) -> None:
+        """The same, once over whole texts in steps of neighbouring tokens, so that a vector is looked up and moved once
+        for all places that a token takes."""
+        base = (self.noise.cumsum(), np.log(JOINT * self.noise).astype(np.float32))
+        where = np.arange(len(classes)) + CONTEXT * (np.repeat(np.arange(len(at) - 1), np.diff(at)) + 1)
+        line = np.full(len(classes) + CONTEXT * (len(at) - 1), END, np.uint8)
+        line[where] = classes
+        real = np.zeros(len(line), np.float32)
+        real[where] = 1
+        for a in self.rng.permutation(np.arange(CONTEXT, len(line), STEP)):
+            own, live = line[a - CONTEXT : a + STEP], real[a : a + STEP, None]
+            n, held, target = len(live), self.r[own], own[CONTEXT:]
+            near = [held[CONTEXT - 1 - k : CONTEXT - 1 - k + n] for k in range(CONTEXT)]
+            predicted = sum(x * p for x, p in zip(near, self.place, strict=True))
+            # Evenly spaced draws: by far less noise in the gradients than from independent ones.
+            tried = np.minimum(np.searchsorted(base[0], (np.arange(JOINT) + self.rng.random()) / JOINT), CLASSES - 1)
+            lean, out, right = self.bias - base[1], self.q[tried], self.q[target]
+            wrong = predicted @ out.T
+            wrong += lean[tried]
+            np.tanh(wrong * np.float32(0.5), out=wrong)
+            wrong += 1
+            wrong *= live / 2
+            miss = live * (np.tanh(((predicted * right).sum(1) + lean[target]) / 2) - 1)[:, None] / 2
+            pull = wrong @ out + miss * right
+            back, forth = np.zeros((2, len(own), WIDTH), np.float32)
+            grads = [np.zeros_like(x) for x in self.parameters()]
+            for k in range(CONTEXT):
+                back[CONTEXT - 1 - k : CONTEXT - 1 - k + n] += pull * self.place[k]
+                grads[2][k] = np.einsum("td,td->d", near[k], pull)
+            np.multiply(miss, predicted, out=forth[CONTEXT:])
+            order = np.argsort(own, kind="stable")
+            first = np.flatnonzero(np.diff(own[order], prepend=-1))
+            kinds = own[order[first]]
+            for g, x in zip(grads, (back, forth), strict=False):
+                g[kinds] = np.add.reduceat(x.take(order, 0), first)
+            grads[3] += np.bincount(target, miss[:, 0], CLASSES).astype(np.float32)
+            np.add.at(grads[1], tried, wrong.T @ predicted)
+            np.add.at(grads[3], tried, wrong.sum(0))
+            self.step(grads, max(1, int(live.sum())), rate)
 
     def log10(self, context: np.ndarray, target: np.ndarray, block: int = 4096) -> np.ndarray:
         """Normalised log10 probabilities of the targets."""
@@ -154,13 +214,13 @@ def contexts(classes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """What a scoring task holds: the head's words and the trained model."""
+    """What a reading task holds: the head's words."""
 
     def __init__(self, head: list[tuple[bytes, int]], ends: int):
         self.place = {w: i for i, (w, _) in enumerate(head)}
         self.count = np.array([c for _, c in head] + [0], float)  # the last: words that are not here
         self.kind = np.array([i if i < SINGLE else shared_class(w) for i, (w, _) in enumerate(head)] + [-1])
-        self.ends, self.model = ends, None
+        self.ends = ends
 
     def ids(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
         """Head places, classes (an end after each text), offsets, and each text's words outside the head."""
@@ -180,6 +240,39 @@ class Scorer:
         return places, kinds, at, tails
 
 
+def kinds_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all texts on end, and offsets."""
+    body, at = common.text_bytes(column)
+    return body.astype(np.int64), at
+
+
+def trained(model: LogBilinear, texts: DataFrame, share: float) -> LogBilinear:
+    """The model after a start on a share of the texts (doc_id, kinds; drawn by a hash) and a pass of each task over all
+    of its own; the tasks' parameters are averaged by tokens."""
+    spark = texts.sparkSession
+    drawn = texts.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    kinds, at = kinds_of(pa.array([bytes(r["kinds"]) for r in drawn.select("kinds").toLocalIterator()], pa.binary()))
+    if len(kinds):
+        model.train(contexts(kinds, at), kinds)
+    begun = spark.sparkContext.broadcast(model)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = copy.deepcopy(begun.value), 0
+        for b in batches:
+            kinds, at = kinds_of(b.column(0))
+            own.learn(kinds, at)
+            n += len(kinds)
+        if n:
+            flat = own.flat().astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * n), pa.array(np.full(len(flat), n))], ["at", "value", "n"])
+
+    each = common.map_arrow(texts.select("kinds"), passed, "at int, value double, n long")
+    mean = each.groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).collect()
+    if mean:
+        model.put(np.array([r["value"] for r in sorted(mean, key=lambda r: r["at"])], np.float32))
+    return model
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, head: int = HEAD, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -204,17 +297,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         mass[1][shared_class(w)] -= 1
         mass[0][i] = c
     mass[0][END] = ends
-    scorer.model = LogBilinear(mass[0])
-    if ends:
-        drawn = training.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < int(min(1.0, sample_docs / ends) * (1 << 20)))
-        texts = pa.array([r["text"] for r in drawn.select("text").toLocalIterator()], pa.string())
-        if len(texts):
-            _, kinds, at, _ = scorer.ids(word_lists(texts))
-            scorer.model.train(contexts(kinds, at), kinds)
     within = np.log10(mass[0] + ADD * (mass[1] + 1))
     shipped = spark.sparkContext.broadcast((scorer, within))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, within = shipped.value
         logs = np.log10(own.count + ADD)
         for b in batches:
@@ -222,19 +308,33 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             log_c = np.where(places < 0, np.log10(own.ends + ADD), logs[places])
             log_c[places == len(own.place)] = 0  # they come by the join
             shared = (kinds >= SINGLE) & (kinds != END)
-            score = own.model.log10(contexts(kinds, at), kinds) + np.where(shared, log_c - within[kinds], 0)
+            share = np.where(shared, log_c - within[kinds], 0)
             known = (places >= 0) & (places < len(own.place)) | (places < 0) & (own.ends > 0)
-            sums = [np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0) for x in (known.astype(np.int64), log_c, score)]
+            sums = [np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0) for x in (known.astype(np.int64), log_c, share)]
             words = pa.array([x for t in tails for x in t], pa.binary()).cast(pa.string())
             tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tails])]), pa.int32()), words)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(at)), *map(pa.array, sums), tail], ["doc_id", "held_out", "n_tokens", "known", "base", "model", "tail"])
+            line = kinds.astype(np.uint8)
+            each = pa.array([line[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(at)), *map(pa.array, sums), tail, each], ["doc_id", "held_out", "n_tokens", "known", "base", "share", "tail", "kinds"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    first = common.map_arrow(rows, scored, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, tail array<string>")
+    first = common.map_arrow(rows, read, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, share double, tail array<string>, kinds binary")
     first = common.stored(first.withColumn("row", F.monotonically_increasing_id()), "scored")
+    model = trained(LogBilinear(mass[0]), first.where(~F.col("held_out")), min(1.0, sample_docs / ends) if ends else 0.0)
+    learned = spark.sparkContext.broadcast(model)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = learned.value
+        for b in batches:
+            kinds, at = kinds_of(b.column(6))
+            logs = own.log10(contexts(kinds, at), kinds)
+            model = (np.add.reduceat(logs, at[:-1]) if len(at) > 1 else np.zeros(0)) + b.column(5).to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(model), b.column(7)], ["doc_id", "held_out", "n_tokens", "known", "base", "model", "row"])
+
     tails = first.select("row", F.explode("tail").alias("word")).join(counted, "word", "left")
     rest = tails.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("more"), F.count("c").alias("also"))
-    out = first.drop("tail").join(rest, "row", "left")
+    own = first.select("doc_id", "held_out", "n_tokens", "known", "base", "share", "kinds", "row")
+    out = common.map_arrow(own, scored, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, row long").join(rest, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),

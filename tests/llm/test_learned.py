@@ -134,3 +134,34 @@ def test_remainder_is_that_of_the_text(spark):
     ids = [random.Random(1).randrange(1 << 40) for _ in range(20)] + [None]
     got = spark.createDataFrame([(i,) for i in ids], "i long").select(common.remainder(F.col("i"), 7)).collect()
     assert [r[0] for r in got] == [zlib.crc32(("" if i is None else str(i)).encode()) % 7 for i in ids]
+
+
+def test_language_model_learns_from_all_training_rows(spark):
+    """Rows that the start does not draw still move the parameters: their order of words is learned."""
+    rows = [(i, " ".join(["red", "green", "blue", "grey"] * 60)) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    total = lm.lm_scores(d, sample_docs=0).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert total.s > 0.6 * total.b
+
+
+def test_a_pass_over_texts_follows_the_gradient_of_each_token(monkeypatch):
+    """One step of neighbouring tokens against the same step token by token."""
+    rng = np.random.default_rng(5)
+    kinds, at = rng.integers(0, lm.CLASSES, 60), np.array([0, 20, 21, 60])
+    monkeypatch.setattr(lm.LogBilinear, "step", lambda self, grads, n, rate: setattr(self, "took", [g.copy() for g in grads]))
+    m = lm.LogBilinear(rng.random(lm.CLASSES) * 50)
+    m.rng = np.random.default_rng(6)
+    m.learn(kinds, at)
+    draw = np.random.default_rng(6)
+    draw.permutation(1)
+    tried = np.searchsorted(m.noise.cumsum(), (np.arange(lm.JOINT) + draw.random()) / lm.JOINT)
+    want = [np.zeros(x.shape) for x in m.parameters()]
+    for c, t in zip(lm.contexts(kinds, at), kinds, strict=True):
+        predicted = (m.r[c] * m.place).sum(0)
+        for k, own in [(t, 1), *((k, 0) for k in tried)]:
+            error = 1 / (1 + np.exp(-(predicted @ m.q[k] + m.bias[k] - np.log(lm.JOINT * m.noise[k])))) - own
+            np.add.at(want[0], c, error * m.q[k] * m.place)
+            want[1][k] += error * predicted
+            want[2] += error * m.q[k] * m.r[c]
+            want[3][k] += error
+    assert all(np.allclose(x, y, atol=1e-4) for x, y in zip(m.took, want, strict=True))

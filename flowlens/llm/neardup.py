@@ -11,11 +11,12 @@ No band is expanded into all its pairs. First each document meets one leader, a
 verified links give components; a band within one component is done. In the others, members of different components
 still have to meet: a band with up to 2,048 members outside its largest component is compared by registers inside
 tasks, that component in blocks, and only pairs that the estimate lets pass come out: first the best one for each
-member, and once the links among these have joined components, all that still lie between different ones. A more
-crowded band, as of many documents around one shared passage, is dealt out again under each pair of its key and a
-later band's, whose six registers must agree too, and so on. Two documents at the limit of 0.8 share no band with
-probability 5e-6, and share but one, which only matters in a band that is dealt out again, with 8e-5; the estimate
-fails them with 3e-5. At 0.9 all three are below 1e-10.
+member, and once the links among these have joined components, all that still lie between different ones. For the
+first of these, a more crowded band, as of many documents around one shared passage, is dealt out again under each pair
+of its key and a later band's, whose six registers must agree too, and so on, which only finds most links early. What
+is still crowded then is compared whole, by the full sets, block against block; each such task gives a spanning forest
+of its links. That work grows with the square of a band's members. Two documents at the limit of 0.8 share no band with
+probability 5e-6; the estimate fails them with 3e-5. At 0.9 both are below 1e-10.
 
 Null, empty and blank texts have the empty set and link with nothing. A text shorter than a shingle is one
 shingle. Rows that share an id are one node. Empty tables give empty results; further columns are ignored.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,10 @@ MANTISSA = 10
 #: Standard errors below the limit at which an estimate still sends a pair to verification.
 SLACK = 4.0
 #: Members of a band outside its largest component up to which it is compared by registers, the members of that
-#: component in a block, and the number of agreeing bands from which any number is compared.
+#: component in a block, and the number of agreeing bands from which any number is compared in search of best pairs.
 CROWD, BLOCK, DEEPEST = 2048, 1024, 12
+#: Shingles (expected) of a block that is compared by full sets.
+BLOCK_SHINGLES = 1 << 20
 _U = np.uint64
 _HASHES = common.mix(np.arange(1, 2 * REGISTERS + 1, dtype=_U) * _U(0xD1B54A32D192ED03)) | _U(1)
 
@@ -212,12 +216,12 @@ def likely_in_bands(members: DataFrame, classes: DataFrame, percent: int, best:
 
 
 def remaining_pairs(members: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Likely pairs (a, b) of different components in the open bands (best: one for each member); crowded bands are dealt out again."""
+    """Likely pairs (a, b) of different components in the open bands (best: one for each member, crowded bands dealt out again; else without these)."""
     out, depth = None, 1
     while True:
         per = members.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("top"))
         bands = common.stored(per.select("key", (F.col("m") - F.col("top.n")).alias("strays"), F.col("top.c").alias("__top"), F.ceil(F.col("top.n") / BLOCK).alias("blocks")), "sizes")
-        deepest = depth >= DEEPEST
+        deepest = best and depth >= DEEPEST
         # Members of the largest component lie in one block each, all others in every block.
         small = members.join(bands if deepest else bands.where(F.col("strays") <= CROWD), "key")
         own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -225,7 +229,7 @@ def remaining_pairs(members: DataFrame, classes: DataFrame, percent: int, best:
         small = common.stored(small.select(F.when(F.col("blocks") > 1, F.xxhash64("key", "block")).otherwise(F.col("key")).alias("key"), "nth", "node", "c"), "small")
         found = likely_in_bands(small, classes, percent, best, depth == 1)
         out = common.stored(found if out is None else out.union(found), "likely")
-        many = None if deepest else common.stored(members.join(bands.where(F.col("strays") > CROWD).select("key"), "key", "left_semi"), "crowded")
+        many = None if deepest or not best else common.stored(members.join(bands.where(F.col("strays") > CROWD).select("key"), "key", "left_semi"), "crowded")
         if many is None or many.isEmpty():
             return out.distinct()
         asked = many.select("node").distinct()
@@ -239,6 +243,64 @@ def remaining_pairs(members: DataFrame, classes: DataFrame, percent: int, best:
             return out.distinct()
 
 
+def crowded_links(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) that join all linked components of each band with more than CROWD strays, by comparing full sets.
+
+    Strays and the largest component are dealt into blocks; each block of strays meets every block, itself too.
+    """
+    sized = members.join(classes.select("node", "n"), "node")
+    per = sized.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum("n").alias("w")).groupBy("key").agg(F.sum("n").alias("m"), F.sum("w").alias("w"), F.max(F.struct("n", "c", "w")).alias("top"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_SHINGLES))
+    per = per.where(F.col("m") - F.col("top.n") > CROWD)
+    bands = common.stored(per.select("key", F.col("top.c").alias("__top"), blocks(F.col("m") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("strays"), blocks(F.col("top.n"), F.col("top.w")).alias("tops")), "crowds")
+    if bands.isEmpty():
+        return bands.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    top, hashed = F.col("c") == F.col("__top"), F.xxhash64("node")
+    own = members.join(bands, "key").withColumn("own", F.when(top, F.col("strays") + F.pmod(hashed, F.col("tops"))).otherwise(F.pmod(hashed, F.col("strays"))))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(top, F.col("strays")).otherwise(F.col("strays") + F.col("tops")) - 1))
+    cells = own.select("key", "node", "c", "own", other.alias("other")).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "c")
+
+    def set_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets, at = shingles(b.column(1), size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sets[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["node", "set"])
+
+    asked = common.stored(own.select("node").distinct(), "asked")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(asked, "node", "left_semi")
+    sets = common.stored(common.map_arrow(texts, set_of, "node long, set binary"), "sets")
+
+    def forest(rows: list[tuple]) -> list[tuple[int, int]]:
+        whole, own = rows[0][1] == rows[0][2], np.array([r[3] for r in rows])
+        node, part = np.array([r[4] for r in rows]), np.unique([r[5] for r in rows], return_inverse=True)[1]
+        each = [np.frombuffer(r[6], _U) for r in rows]
+        n = np.array([len(x) for x in each])
+        at = np.concatenate([[0], np.cumsum(n)])
+        ids = np.unique(np.concatenate(each), return_inverse=True)[1]
+        has, out = np.zeros(ids.max(initial=0) + 1, np.uint8), []
+        for i in range(len(rows) - 1):
+            if not n[i]:
+                continue
+            has[ids[at[i] : at[i + 1]]] = 1
+            got = np.concatenate([[0], np.cumsum(has[ids[at[i + 1] :]], dtype=np.int64)])
+            shared = np.diff(got[at[i + 1 :] - at[i + 1]])
+            has[ids[at[i] : at[i + 1]]] = 0
+            near = (n[i + 1 :] > 0) & (100 * shared >= percent * (n[i] + n[i + 1 :] - shared)) & (whole | (own[i + 1 :] != own[i]))
+            for j in i + 1 + np.flatnonzero(near):
+                if part[j] != part[i]:
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
+                    part[part == part[j]] = part[i]
+        return out
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for _, cell in groupby(rows, key=lambda r: r[:3]):
+            found = forest(list(cell))
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = cells.join(sets, "node").select("key", "low", "high", "own", "node", "c", "set").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return common.map_arrow(dealt, met, "a long, b long").distinct()
+
+
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose sizes and registers let them reach the limit."""
     least = _least(percent)
@@ -301,6 +363,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
             break
         more = common.stored(remaining_pairs(still, classes, percent, best).join(pairs, ["a", "b"], "left_anti"), "more")
         links = common.stored(links.union(verified(more, docs, percent, size, id_col, text_col)), "links")
+        if not best:
+            links = common.stored(links.union(crowded_links(still, classes, docs, percent, size, id_col, text_col)), "links")
         component = common.components(links)
         if best:
             pairs = pairs.union(more)

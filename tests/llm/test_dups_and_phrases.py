@@ -48,6 +48,22 @@ def test_near_duplicates(docs, rows):
         assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
 
 
+def test_crowded_bands_are_compared_whole(spark, monkeypatch):
+    """Links near the limit share few bands, here all crowded, in which every pair must still be compared."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10_000)}"
+    core, rows = [word() for _ in range(40)], []
+    for i in range(80):
+        own = [word() for _ in range(12)] if i % 2 == 0 else [*rows[-1][1].split()[:3], word(), *rows[-1][1].split()[4:6], *rows[-1][1].split()[-6:-1], word()]
+        rows.append((i, " ".join(own[:6] + core + own[6:])))
+    want = linked(sets_of(rows, 4), 80)
+    assert sum(want[i] != i for i in want) == 40
+    monkeypatch.setattr(neardup, "CROWD", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 80, 4).collect()} == want
+
+
 def passages(seed=1, n=150):
     """Many texts around one passage, alike but below the limit, with some links among them."""
     rng = random.Random(seed)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch of texts holds at most (a longer text is a batch of its own); they bound a
 #: Python worker's memory.
-BATCH_ROWS, BATCH_BYTES = 400, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 400, 2 << 20
+#: Bytes of text that are worked on at once where a text can be cut, so that a long one needs no more memory.
+BLOCK_BYTES = 1 << 18
 WHITE = r"[\x20\x09-\x0D]+"
 NON_WHITE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,33 +33,40 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run here."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='flowlens-')}"
         if not held.isDefined():
             spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-_collecting: list[list[str]] = []
+class _Collecting(threading.local):
+    def __init__(self):
+        self.held: list[list[str]] = []
+
+
+_collecting = _Collecting()
 
 
 @contextlib.contextmanager
 def collecting() -> Iterator[list[str]]:
-    """The scratch paths that are given out meanwhile."""
-    _collecting.append([])
+    """The scratch paths that are given out meanwhile in this thread."""
+    _collecting.held.append([])
     try:
-        yield _collecting[-1]
+        yield _collecting.held[-1]
     finally:
-        _collecting.pop()
+        _collecting.held.pop()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for held in _collecting:
+    for held in _collecting.held:
         held.append(path)
     return path
 
@@ -85,11 +96,26 @@ def remainder(doc_id, n: int):
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
+def _release() -> None:
+    """Give freed memory back: workers are kept between tasks, and each holds what it once needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems' C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with batches small enough for long texts."""
+    """mapInArrow with batches small enough for long texts.
+
+    Spark takes the two limits from the session when the plan is made, so they stay set on it.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        _release()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(tidy, schema)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +134,28 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
+def blocks(body: np.ndarray, at: np.ndarray, cut: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Texts i to j - 1 and their offsets, `most` bytes or so at a time; a longer text comes alone and in parts.
+
+    A part ends after a byte that the table `cut` marks, however far that is; its offsets lie inside the text.
+    """
+    n, i = len(at) - 1, 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        if at[i + 1] - at[i] <= most:
+            yield i, j, at[i : j + 1]
+        else:
+            j, a = i + 1, int(at[i])
+            while a < at[j]:
+                b = min(a + most, int(at[j]))
+                while b < at[j] and not cut[body[b - 1]]:
+                    near = np.flatnonzero(cut[body[b : b + most]])
+                    b = b + int(near[0]) + 1 if len(near) else min(b + most, int(at[j]))
+                yield i, j, np.array([a, b])
+                a = b
+        i = j
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer with full avalanche (the published splitmix64 constants)."""
     x = x ^ (x >> np.uint64(30))
@@ -118,20 +166,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd base modulo 2**64, and of its inverse, as far as they were needed."""
+    """Powers of an odd base modulo 2**64, and of its inverse, as far as they were needed; the first KEPT stay."""
+
+    KEPT = 1 << 20
 
     def __init__(self, base: int = 0x9E3779B97F4A7C15):
         self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(16, n.bit_length())
-            for name, x in (("up", self.base), ("down", self.inverse)):
-                a = np.full(size, x, np.uint64)
-                a[0] = 1
-                setattr(self, name, np.cumprod(a, dtype=np.uint64))
-        return self.up, self.down
+        if len(self.up) >= n:
+            return self.up, self.down
+        size = 1 << max(16, (n - 1).bit_length())
+        up, down = np.full(size, self.base, np.uint64), np.full(size, self.inverse, np.uint64)
+        for x in (up, down):
+            x[0] = 1
+            np.cumprod(x, dtype=np.uint64, out=x)
+        if size <= self.KEPT:
+            self.up, self.down = up, down
+        return up, down
 
 
 POWERS = Powers()

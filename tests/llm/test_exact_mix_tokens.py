@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,39 @@ def test_token_files(docs, rows, tokenizer):
     assert flat == every
 
 
+def test_ids_are_those_of_the_library_for_whole_texts(tokenizer, spark):
+    """All of a table, random texts of hard characters, and texts that are read in parts."""
+    rng = random.Random(1)
+    hard = "aAzZ09 '\"<>|.,!?-_ \t\n\r\x0b\x0c\x1c\x85\xa0 éÉÀßÿ÷×ªµİıΣςσ日本語\u0327\u0301ﬁⅧ²½٣🙂\u200d'sS'tTreElLdDmMvV"
+    some = ["<|endoftext|>", "<|startoftext|>", "'s", "don't", "<|x", "A'LL", "we're", "''s", "!'s"]
+    plain = [c for c in hard if c in " \t\n\r" or "!" <= c <= "~" or c in "éÉÀßÿ"]
+    texts = [r.text for r in common.documents(spark, "/root/testdata/sf0.01").select("text").collect()]
+    texts += ["".join(rng.choice(hard) if rng.random() < 0.9 else rng.choice(some) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["".join(rng.choice(plain) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["日本語の テキスト " * 20_000, "x" * 300_000 + " y", "don't we'll " * 30_000]
+    encoder = tokenout.Encoder(queries.vocabulary(), 2)
+    assert encoder.apart
+    for a in range(0, len(texts), 331):
+        blocks, counts = encoder.encode(pa.array(texts[a : a + 331], pa.string()))
+        flat, at = np.concatenate(blocks).tolist(), 0
+        for t, n in zip(texts[a : a + 331], counts, strict=True):
+            assert flat[at : at + n] == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+            at += n
+        assert at == len(flat)
+    encoder.apart = False  # an unknown pre-tokenizer
+    blocks, counts = encoder.encode(pa.array(["a b", None]))
+    assert np.concatenate(blocks).tolist() == [*tokenizer.encode("a b", add_special_tokens=False).ids, 2, 2] and counts.tolist() == [3, 1]
+
+
+def test_memo_tells_all_hashes_apart():
+    rng = np.random.default_rng(3)
+    h = np.unique(rng.integers(1, 1 << 63, 5000).astype(np.uint64) & np.uint64(0xFFFFFFFF00000FFF))
+    memo = tokenout.Memo(np.dtype("<u2"), 2)
+    for a in range(0, len(h), 700):
+        memo.add(h[a : a + 700], np.arange(a, min(a + 700, len(h))) % 60_000, np.ones(min(700, len(h) - a), np.int64))
+    assert (memo.find(h) == np.arange(1, len(h) + 1)).all() and not memo.find(h + np.uint64(0x1000)).any()
+
+
 def test_repeated_ids_and_empty_tables(spark, empty):
     twice = spark.createDataFrame([(5, "a b"), (5, "a b"), (5, "c"), (None, "d")], "doc_id long, text string").withColumn("source", F.lit("s"))
     assert exact_dedup.exact_dedup(twice).count() == 4 and mixing.mix(twice).count() == 4

@@ -68,17 +68,63 @@ def test_language_model_with_a_tiny_head_and_odd_rows(spark, docs, empty):
 
 
 def test_log_bilinear_probabilities_sum_to_one_and_learn():
-    rng = np.random.default_rng(1)
     seq = np.tile(np.array([3, 5, 7, 11]), 2000)
     at = np.array([0, len(seq)])
     m = lm.LogBilinear(np.bincount(seq, minlength=lm.CLASSES))
-    c = lm.contexts(seq, at)
-    before = m.log10(c, seq).mean()
-    m.train(c, seq, passes=2)
-    assert m.log10(c, seq).mean() > max(before, -0.2)
-    one = np.repeat(c[100:101], lm.CLASSES, 0)
-    assert abs((10 ** m.log10(one, np.arange(lm.CLASSES))).sum() - 1) < 1e-4
-    del rng
+    before = m.log10(seq, at).mean()
+    for _ in range(60):
+        m.learn(seq, at, 0.2)
+    assert m.log10(seq, at).mean() > max(before, -0.2)
+    each = np.concatenate([np.append(seq[:7], k) for k in range(lm.CLASSES)])
+    last = m.log10(each, np.arange(lm.CLASSES + 1) * 8)[7::8]
+    assert abs((10**last).sum() - 1) < 1e-4
+
+
+def test_second_level_is_the_least_of_its_loss_and_normalised():
+    rng = np.random.default_rng(3)
+    u, n = rng.normal(0, 1, (lm.CLASSES, lm.WIDTH)), rng.poisson(0.3, (lm.CLASSES, 40)).astype(float)
+    n[:, 7] *= 30
+    v, b = lm.fit_within(u, n, block=16)
+    q = (n.sum(0) + 1) / (n.sum(0) + 1).sum()
+    noise = lm.NOISE * n.sum(1)[:, None] * q
+    p = 1 / (1 + np.exp(-(u @ v.T + b - np.log(lm.NOISE * q))))
+    wrong = noise * p - n * (1 - p)
+    assert np.abs(wrong.T @ u + lm.RIDGE * v).max() < 1e-2 and np.abs(wrong.sum(0) + lm.RIDGE * (b - np.log(q))).max() < 1e-2
+    words = [b"w%d" % i for i in range(1000)]
+    w = lm.Within(words)
+    codes = np.concatenate([w.members(k) for k in range(lm.SINGLE, lm.END)])
+    w.put(u.astype(np.float32), codes, rng.normal(0, 1, (len(codes), lm.WIDTH)), rng.normal(0, 1, len(codes)))
+    for kind in range(lm.SINGLE, lm.END):
+        own = w.members(kind)
+        assert abs((10 ** w.log10(own, np.full(len(own), 9))).sum() - 1) < 1e-4
+
+
+def test_language_model_scores_equal_a_loop_over_tokens(spark, docs, rows, monkeypatch):
+    held, train = [], lm.trained
+    monkeypatch.setattr(lm, "trained", lambda model, within, *x: (train(model, within, *x), held.append((model, within))))
+    got = {r.doc_id: r for r in lm.lm_scores(docs, head=600, sample_docs=20, least_count=2).collect()}
+    (m, w), texts = held[0], {r[0]: (r[1] or "").encode().lower().split() for r in rows}
+    c = Counter(x for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10 for x in t)
+    top = sorted(c, key=lambda x: (-c[x], x))[: w.n]
+    assert lm.SINGLE < w.n < len(c)
+    code = {x: i for i, x in enumerate(top)}
+    spare = {k: [c[x] for x in c if x not in code and lm.shared_class(x) == k] for k in range(lm.SINGLE, lm.END)}
+    for i, t in texts.items():
+        kinds = [code[x] if code.get(x, lm.SINGLE) < lm.SINGLE else lm.shared_class(x) for x in t] + [lm.END]
+        if len(t) > 400:
+            continue
+        total = 0.0
+        for k, kind in enumerate(kinds):
+            before = [kinds[k - 1 - j] if k - 1 - j >= 0 else lm.END for j in range(lm.CONTEXT)]
+            z = m.q @ sum(m.r[x] * m.place[j] for j, x in enumerate(before)) + m.bias
+            total += math.log10(np.exp(z[kind]) / np.exp(z).sum())
+            if lm.SINGLE <= kind < lm.END:
+                own = w.members(kind)
+                z = np.exp(w.v[own] @ w.u[before[0]] + w.b[own])
+                total += math.log10(z[list(own).index(code.get(t[k], w.n + kind - lm.SINGLE))] / z.sum())
+                if t[k] not in code:
+                    total += math.log10((c[t[k]] + 0.1) / (sum(spare[kind]) + 0.1 * (len(spare[kind]) + 1)))
+        assert math.isclose(got[i].score, total, rel_tol=1e-3, abs_tol=1e-2)
 
 
 def test_toxicity(spark, table, empty, docs):
@@ -142,12 +188,19 @@ def test_language_model_learns_from_all_training_rows(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     total = lm.lm_scores(d, sample_docs=0).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert total.s > 0.6 * total.b
+    assert lm.lm_scores(d.where("false")).count() == 0
 
 
 def test_a_pass_over_texts_follows_the_gradient_of_each_token(monkeypatch):
     """One step of neighbouring tokens against the same step token by token."""
     rng = np.random.default_rng(5)
     kinds, at = rng.integers(0, lm.CLASSES, 60), np.array([0, 20, 21, 60])
+
+    def contexts():
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            for i in range(a, b):
+                yield [kinds[i - 1 - k] if i - 1 - k >= a else lm.END for k in range(lm.CONTEXT)]
+
     monkeypatch.setattr(lm.LogBilinear, "step", lambda self, grads, n, rate: setattr(self, "took", [g.copy() for g in grads]))
     m = lm.LogBilinear(rng.random(lm.CLASSES) * 50)
     m.rng = np.random.default_rng(6)
@@ -156,7 +209,7 @@ def test_a_pass_over_texts_follows_the_gradient_of_each_token(monkeypatch):
     draw.permutation(1)
     tried = np.searchsorted(m.noise.cumsum(), (np.arange(lm.JOINT) + draw.random()) / lm.JOINT)
     want = [np.zeros(x.shape) for x in m.parameters()]
-    for c, t in zip(lm.contexts(kinds, at), kinds, strict=True):
+    for c, t in zip(contexts(), kinds, strict=True):
         predicted = (m.r[c] * m.place).sum(0)
         for k, own in [(t, 1), *((k, 0) for k in tried)]:
             error = 1 / (1 + np.exp(-(predicted @ m.q[k] + m.bias[k] - np.log(lm.JOINT * m.noise[k])))) - own

@@ -8,8 +8,11 @@ moved back by the term's offset, intersected; a phrase match must agree in all w
 the rare terms, within a distance.
 
 Null and empty texts and items have no words, no windows and no hits. Repeated items are items of their own;
-repeated windows are looked up once. Rows that share an id share their hits. Empty tables give empty results, or
-documents without hits. Further columns are ignored.
+repeated windows are looked up once; of equally rare terms the first in the window counts. Rows that share an id share
+their hits, rows without one too. A text of any length is one row of words, some 60 bytes each. Empty tables give empty
+results, or documents without hits. Further columns are ignored.
+
+Proximity matches are a search of their own over the same index (`proximity_matches`); contamination rests on phrases.
 """
 
 from __future__ import annotations
@@ -61,12 +64,22 @@ def rarest_terms(windows: DataFrame, frequencies: DataFrame, rarest: int = RARES
     return chosen.select("window", "words", F.least(F.size("words"), F.lit(rarest)).alias("n_terms"), "nth", "term", "offset")
 
 
-def build_index(docs: DataFrame, terms: DataFrame, reach: int = WINDOW - 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """term, doc_id, pos, around (the words from reach before pos to reach after), from (position of the first of them)."""
+def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """term, doc_id, pos, first (position of the first word around), around (the words that any window of the term needs).
+
+    terms: term, before, after. Below the bound they are broadcast, and each row of documents is read once; beyond, words
+    move without their texts, and a document's words meet its positions again by its id.
+    """
     cut = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w"))
-    each = cut.select("doc_id", "w", F.posexplode("w").alias("pos", "term")).join(terms, "term")
-    first = F.greatest(F.lit(0), F.col("pos") - reach)
-    return each.select("term", "doc_id", "pos", first.alias("first"), F.slice("w", first + 1, F.col("pos") - first + 1 + reach).alias("around"))
+    first = F.greatest(F.lit(0), F.col("pos") - F.col("before"))
+    around = F.slice("w", first + 1, F.col("pos") - first + 1 + F.col("after"))
+    if terms.count() <= BROADCAST_ROWS:
+        each = cut.select("doc_id", "w", F.posexplode("w").alias("pos", "term")).join(F.broadcast(terms), "term")
+    else:
+        found = cut.select("doc_id", F.posexplode("w").alias("pos", "term")).join(terms, "term")
+        found = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("pos", "term", "before", "after")).alias("at"))
+        each = cut.join(found, cut["doc_id"].eqNullSafe(found["__doc"])).select("doc_id", "w", F.inline("at"))
+    return each.select("term", "doc_id", "pos", first.alias("first"), around.alias("around"))
 
 
 def offset_lists(index: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -107,7 +120,8 @@ def search(docs: DataFrame, items: DataFrame, size: int = WINDOW, rarest: int =
     terms = windows.select(F.explode("words").alias("term")).distinct()
     frequencies = common.stored(corpus_frequencies(docs, _small(terms), text_col), "frequencies")
     chosen = common.stored(rarest_terms(windows, frequencies, rarest), "rarest-terms")
-    index = common.stored(build_index(docs, _small(chosen.select("term").distinct()), size - 1, id_col, text_col), "index")
+    reach = chosen.groupBy("term").agg(F.max("offset").alias("before"), F.max(F.size("words") - 1 - F.col("offset")).alias("after"))
+    index = common.stored(build_index(docs, reach, id_col, text_col), "index")
     return windows, chosen, index
 
 
@@ -120,12 +134,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
     reached = F.max("end").over(Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     covered = spans.withColumn("reached", F.coalesce(reached, F.lit(0)))
     hit = covered.groupBy("doc_id").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reached"))).alias("n_hit"))
-    owners = windows.groupBy("words").agg(F.collect_set(F.col("item_id").cast("string")).alias("owners"))
-    named = matches.select("doc_id", "words").distinct().join(_small(owners), "words").select("doc_id", F.explode("owners").alias("item")).distinct()
+    owners = windows.select("words", F.col("item_id").cast("string").alias("item")).distinct()
+    named = matches.select("doc_id", "words").distinct().join(_small(owners), "words").select("doc_id", "item").distinct()
     named = named.groupBy("doc_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    found = hit.join(named, "doc_id").withColumnRenamed("doc_id", "__doc")
+    named = named.withColumnRenamed("doc_id", "__named")
+    found = hit.join(named, hit["doc_id"].eqNullSafe(named["__named"])).drop("__named").withColumnRenamed("doc_id", "__doc")
     base = docs.select(F.col(id_col).alias("doc_id"), F.size(tokens(F.col(text_col))).cast("long").alias("n_words"))
-    out = base.join(found, base["doc_id"] == found["__doc"], "left")
+    out = base.join(found, base["doc_id"].eqNullSafe(found["__doc"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     out = out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"))

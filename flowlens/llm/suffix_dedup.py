@@ -19,9 +19,9 @@ An anchor with more than `most_spans` different spans has its strings dealt out
 own, so that no task holds an unbounded group. Nothing is sampled: step 1 only settles spans whose outcome is
 known, and equal hashes of spans are 128 bits with the anchor's.
 
-Null texts count as empty; texts shorter than `length` are kept whole. Of rows that share an id, strings count by
-their places, and what one loses the others lose. A row without an id is kept whole. Empty tables give empty
-results; further columns are ignored.
+Null texts count as empty; texts shorter than `length` are kept whole. Rows that share an id follow one another in an
+order of their texts' hashes, so that of equal rows one keeps its text. A row without an id is kept whole. Longer texts
+than 4 MB are read in pieces, but lie in memory twice. Empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,11 +43,15 @@ MOST_SPANS = 2000
 ARRAY_BYTES = 1 << 20
 #: Texts longer than this are read piece by piece.
 PIECE = 4 << 20
+#: Places of the nth row of an id begin at nth << ROW.
+ROW = 40
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """The suffix array of positive integers below 2**20, fewer than 2**20 of them, by the difference cover {1, 2} modulo 3."""
     n = len(t)
+    if n >= 1 << 20 or n and t.max() >= 1 << 20:
+        raise ValueError(f"{n} symbols up to {t.max()} do not fit into packed triples")
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: t[i:].tolist()), np.int64)
     s = np.concatenate([t.astype(np.int64), np.zeros(3, np.int64)])
@@ -141,7 +145,7 @@ def _wider(least: np.ndarray, place: np.ndarray, by: int) -> tuple[np.ndarray, n
 
 
 def spans(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, text to anchor, span, doc_id, lo, n, off, again.
+    """doc_id, text, nth to anchor, span, doc_id, lo, n, off, again.
 
     Rows that are marked again are strings known to be repeated, neighbours united, under an anchor of their own.
     """
@@ -149,13 +153,13 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             body, at = common.text_bytes(b.column(1))
-            ids = b.column(0).to_numpy()
+            ids, rows = b.column(0).to_numpy(), b.column(2).to_numpy() << ROW
             groups = [(0, len(ids))] if len(body) <= PIECE else [(i, i + 1) for i in range(len(ids))]
             for x, y in groups:
                 for p in range(at[x], max(at[x] + 1, at[y] - length + 1), PIECE if y - x == 1 else len(body) + 1):
                     upto = min(at[y], p + PIECE + length - 1) if y - x == 1 else at[y]
                     text, lo, n, anchor, span, off = anchored(body[p:upto], np.clip(at[x : y + 1] - p, 0, upto - p), length)
-                    lo = lo + (p - at[x] if y - x == 1 else 0)
+                    lo = lo + (p - at[x] if y - x == 1 else 0) + rows[x:y][text]
                     again = _repeats(text, anchor, span)
                     yield out(ids[x:y][text[~again]], anchor[~again], span[~again], lo[~again], n[~again], off[~again], False)
                     if again.any():
@@ -174,14 +178,14 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the compressed bytes of the text, for shuffles."""
+    """doc_id, nth and the compressed bytes of the text, for shuffles."""
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([press.compress(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "nth", "packed"])
 
-    return common.map_arrow(docs, small, "doc_id long, packed binary")
+    return common.map_arrow(docs, small, "doc_id long, nth long, packed binary")
 
 
 def span_bytes(docs: DataFrame, asked: DataFrame, length: int, most_spans: int) -> DataFrame:
@@ -191,14 +195,14 @@ def span_bytes(docs: DataFrame, asked: DataFrame, length: int, most_spans: int)
         press = zstandard.ZstdDecompressor()
         for b in batches:
             keys, ids, los, offs, bodies = [], [], [], [], []
-            for doc, z, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                text = press.decompress(z)
+            for doc, nth, z, want in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                text, base = press.decompress(z), nth << ROW
                 for w in want:
-                    lo, n = w["lo"], w["n"]
+                    lo, n = w["lo"] - base, w["n"]
                     if w["spans"] <= most_spans:
                         keys.append(w["anchor"])
                         ids.append(doc)
-                        los.append(lo)
+                        los.append(lo + base)
                         offs.append(w["off"])
                         bodies.append(text[lo : lo + n + length - 1])
                         continue
@@ -206,13 +210,13 @@ def span_bytes(docs: DataFrame, asked: DataFrame, length: int, most_spans: int)
                         own = text[p : p + length]
                         keys.append(int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True))
                         ids.append(doc)
-                        los.append(p)
+                        los.append(p + base)
                         offs.append(-1)
                         bodies.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(los, pa.int64()), pa.array(offs, pa.int16()), pa.array(bodies, pa.binary())], ["key", "doc_id", "lo", "off", "body"])
 
-    want = asked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "n", "off", "spans")).alias("want"))
-    return common.map_arrow(packed(docs).join(want, "doc_id"), cut, "key long, doc_id long, lo long, off short, body binary")
+    want = asked.groupBy("doc_id", F.shiftright("lo", ROW).alias("nth")).agg(F.collect_list(F.struct("anchor", "lo", "n", "off", "spans")).alias("want"))
+    return common.map_arrow(packed(docs).join(want, ["doc_id", "nth"]), cut, "key long, doc_id long, lo long, off short, body binary")
 
 
 def agreeing(bodies: list[bytes], keys: np.ndarray, offs: np.ndarray, length: int) -> np.ndarray:
@@ -324,9 +328,9 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
         press = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for z, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for nth, z, gone in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
                 text, digest, done, removed, n = press.decompress(z), hashlib.sha256(), 0, 0, 0
-                for lo, hi in sorted((g["lo"], g["hi"]) for g in gone or ()):
+                for lo, hi in sorted((g["lo"] - (nth << ROW), g["hi"] - (nth << ROW)) for g in gone or ()):
                     hi = min(hi, len(text))
                     if hi <= done and n:
                         continue
@@ -342,14 +346,28 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    lists = gone.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
-    joined = packed(docs).join(lists, "doc_id", "left").select("doc_id", "packed", "gone")
+    lists = gone.groupBy("doc_id", F.shiftright("lo", ROW).alias("nth")).agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    joined = packed(docs).join(lists, ["doc_id", "nth"], "left").select("doc_id", "nth", "packed", "gone")
     return common.map_arrow(joined, kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text) with nth: 0, but a number for each row of an id that repeats. Only such rows are moved and sorted."""
+    again = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    zero = F.lit(0).cast("long").alias("nth")
+    if again.isEmpty():
+        return rows.select("doc_id", "text", zero)
+    again = common.stored(again, "repeated-ids")
+    held = common.stored(rows.join(again, "doc_id", "left_semi").withColumn("m", F.monotonically_increasing_id()), "repeated-rows")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("h", "m"))
+    numbers = held.select("doc_id", F.xxhash64("text").alias("h"), "m").select("m", (place - 1).cast("long").alias("nth"))
+    return rows.join(again, "doc_id", "left_anti").select("doc_id", "text", zero).union(held.join(numbers, "m").select("doc_id", "text", "nth"))
+
+
 def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", most_spans: int = MOST_SPANS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = numbered(rows)
     named = rows.where(F.col("doc_id").isNotNull())
     by = Window.partitionBy("anchor")
     first = F.coalesce(F.lag("span").over(by.orderBy("span", "doc_id", "lo")) != F.col("span"), F.lit(True))

@@ -19,7 +19,10 @@ of its links. That work grows with the square of a band's members. Two documents
 probability 5e-6; the estimate fails them with 3e-5. At 0.9 both are below 1e-10.
 
 Null, empty and blank texts have the empty set and link with nothing. A text shorter than a shingle is one
-shingle. Rows that share an id are one node. Empty tables give empty results; further columns are ignored.
+shingle. Rows that share an id are one node. A row without an id is linked by its text like any other and comes after
+all ids: its component is the smallest id in reach, or null, and then it is kept, if no row with an id is linked with
+it. Ids lie below 2**62. A text lies in memory some 30 times over. Empty tables give empty results; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ SLACK = 4.0
 CROWD, BLOCK, DEEPEST = 2048, 1024, 12
 #: Shingles (expected) of a block that is compared by full sets.
 BLOCK_SHINGLES = 1 << 20
+#: From here on nodes stand for texts of rows without an id.
+NAMELESS = 1 << 62
 _U = np.uint64
 _HASHES = common.mix(np.arange(1, 2 * REGISTERS + 1, dtype=_U) * _U(0xD1B54A32D192ED03)) | _U(1)
 
@@ -112,6 +117,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.clip((equal - c) / (1 - c), 0, 1)
 
 
+def nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text; rows without an id get one by their text, beyond all others."""
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64(F.col(text_col)), F.lit(NAMELESS))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), nameless).alias("doc_id"), F.col(text_col).alias("text"))
+
+
 def signatures(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, digest (of the set), registers (binary)."""
 
@@ -345,6 +356,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int, id_col:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
+    docs, id_col, text_col = nodes(docs, id_col, text_col), "doc_id", "text"
     signed = common.stored(signatures(docs, size, id_col, text_col), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("first"))
     classes = common.stored(classes.select(F.col("first.doc_id").alias("node"), F.col("first.n_shingles").alias("n"), F.col("first.registers").alias("registers"), "digest"), "classes")
@@ -374,4 +386,5 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     named = common.stored(named, "named")
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    real = lambda c: F.when(c < NAMELESS, c)
+    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(own).alias("component_id"), real(F.col("doc_id")).eqNullSafe(real(own)).alias("kept"))

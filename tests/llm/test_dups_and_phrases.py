@@ -7,6 +7,7 @@ import re
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -106,6 +107,36 @@ def test_edges_of_pair_operators(spark, empty):
     assert suffix_dedup.suffix_dedup(odd).count() == 7
 
 
+def test_rows_without_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text), (None, text), (None, text + " x"), (2, "a b c d e f"), (None, "g h i j k l"), (None, None)], "doc_id long, text string")
+    got = sorted(((r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).where("doc_id is null").collect()), key=repr)
+    assert got == [(0, None, True), (2, None, True), (26, 1, False), (27, 1, False)]
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert sorted(r.n_hit for r in decontam.decontaminate(df.limit(3), items).collect()) == [30, 30, 30]
+
+
+def test_of_equal_rows_one_keeps_its_text(spark):
+    rng = random.Random(6)
+    text, other = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (160, 130))
+    df = spark.createDataFrame([(4, text), (4, text), (4, text + other), (5, other), (6, "z")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(df).collect())
+    n, m = len(text), len(other)
+    assert sum(r for i, _, r in got if i == 4) == 2 * n and got[3] == (5, m, m) and got[4] == (6, 1, 0)
+
+
+def test_phrases_are_the_same_without_broadcasts(spark, docs, rows, monkeypatch):
+    items = spark.createDataFrame([*bench_items(rows), (11, "a"), (12, "th")], "item_id long, text string")
+    want = sorted(map(repr, decontam.decontaminate(docs, items).collect()))
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, decontam.decontaminate(docs, items).collect())) == want
+
+
+def test_suffix_arrays_refuse_what_does_not_fit():
+    with pytest.raises(ValueError):
+        suffix_dedup.suffix_array(np.ones(1 << 20, np.int64))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -8,7 +8,8 @@ corrected for that language's false-positive rate; the largest corrected share d
 Training counts n-grams of at most `sample_docs` documents (expected) per language, drawn by a hash of the id;
 every whole text is scored. A text that is null or has no letter is `und` with score 0, and so is every text if
 nothing was learned. Rows without a language teach nothing. Empty tables and repeated rows need no special
-care: each row is judged on its own. Further columns are ignored.
+care: each row is judged on its own. A text of any length is read in parts of 256 KB; it lies in memory three times.
+Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,42 +42,31 @@ def _fold_table() -> np.ndarray:
 _FOLD = _fold_table()
 
 
-def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams of each text between two blanks, as 64-bit codes, and n + 1 offsets; blank ones are left out."""
+def grams(column: pa.Array, most: int = common.BLOCK_BYTES) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+    """The n-grams of each text between two blanks, `most` places at a time, as 64-bit codes; blank ones are left out.
+
+    Each block has the codes of the texts i to j - 1, or of a part of them, and j - i + 1 offsets.
+    """
     body, at = common.text_bytes(column)
-    n, lengths = len(at) - 1, np.diff(at)
-    padded = np.full(len(body) + n + 1, 32, np.uint8)
-    padded[np.arange(len(body)) + np.repeat(np.arange(1, n + 1), lengths)] = _FOLD[body]
-    first, last = at[:-1] + np.arange(n), at[1:] + np.arange(1, n + 1) + 1
-    codes, owner_counts = [], []
-    wide = padded.astype(np.uint64)
-    for size in LENGTHS:
-        if len(padded) < size:
-            codes.append(np.zeros(0, np.uint64))
-            owner_counts.append(np.zeros(n, np.int64))
-            continue
-        code = wide[: len(wide) - size + 1].copy()
-        for k in range(1, size):
-            code = (code << np.uint64(8)) | wide[k : len(wide) - size + 1 + k]
-        blank = int.from_bytes(b" " * size, "big")
-        good = code != np.uint64(blank)
-        # An n-gram that goes beyond the closing blank of its text reaches into the next one.
-        for back in range(1, size):
-            i = last - back
-            good[i[(i >= 0) & (i < len(good))]] = False
-        good_sum = np.concatenate([[0], np.cumsum(good)])
-        ends = np.clip(last - size + 1, 0, len(good))
-        owner_counts.append(good_sum[np.maximum(ends, np.minimum(first, len(good)))] - good_sum[np.minimum(first, len(good))])
-        codes.append((code | np.uint64(size << 56))[good])
-    total = owner_counts[0] + owner_counts[1]
-    out = np.empty(int(total.sum()), np.uint64)
-    where = np.concatenate([[0], np.cumsum(total)])
-    begin = where[:-1].copy()
-    for code, count in zip(codes, owner_counts, strict=True):
-        base = np.concatenate([[0], np.cumsum(count)])[:-1]
-        out[np.arange(len(code)) + np.repeat(begin - base, count)] = code
-        begin += count
-    return out, where
+    x = np.insert(_FOLD[body], at, 32)
+    first = at + np.arange(len(at))  # the blank before each text, and the last
+    for a in range(0, len(x), most):
+        for size in LENGTHS:
+            b = min(a + most, len(x) - size + 1)
+            if b <= a:
+                continue
+            wide = x[a : b + size - 1].astype(np.uint32)
+            code = wide[: b - a]
+            for k in range(1, size):
+                code = (code << np.uint32(8)) | wide[k : b - a + k]
+            good = code != int.from_bytes(b" " * size, "big")
+            # An n-gram that goes beyond the closing blank of its text reaches into the next one.
+            for back in range(1, size - 1):
+                p = first[1:] - back - a
+                good[p[(p >= 0) & (p < b - a)]] = False
+            i, j = int(np.searchsorted(first, a, "right")) - 1, int(np.searchsorted(first[:-1], b))
+            n = np.concatenate([[0], np.cumsum(good)])
+            yield code[good].astype(np.uint64) | np.uint64(size << 56), i, j, n[np.clip(first[i : j + 1] - a, 0, b - a)]
 
 
 class MaskFilter:
@@ -86,7 +76,7 @@ class MaskFilter:
         self.languages, self.slots, self.hashes = languages, slots, hashes
         words = max(1, -(-len(languages) // 64))
         kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= min(64, len(languages)))
-        self.table = np.zeros((words, slots), kind)
+        self.table, self._rates = np.zeros((words, slots), kind), None
 
     def places(self, codes: np.ndarray) -> list[np.ndarray]:
         h = common.mix(codes)
@@ -94,6 +84,7 @@ class MaskFilter:
         return [((h + step * np.uint64(i)) % np.uint64(self.slots)).astype(np.int64) for i in range(self.hashes)]
 
     def add(self, language: int, codes: np.ndarray) -> None:
+        self._rates = None
         row, bit = self.table[language // 64], self.table.dtype.type(1 << (language % 64))
         for p in self.places(codes):
             np.bitwise_or.at(row, p, bit)
@@ -106,31 +97,39 @@ class MaskFilter:
         return out
 
     def false_rates(self) -> np.ndarray:
-        fill = [((self.table[i // 64] >> self.table.dtype.type(i % 64)) & self.table.dtype.type(1)).mean() for i in range(len(self.languages))]
-        return np.array(fill) ** self.hashes
+        if self._rates is None:
+            fill = [((self.table[i // 64] >> self.table.dtype.type(i % 64)) & self.table.dtype.type(1)).mean() for i in range(len(self.languages))]
+            self._rates = np.array(fill) ** self.hashes
+        return self._rates
+
+    def hits(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Texts x languages: how many of a text's n-grams the table has for the language, false ones included."""
+        masks = self.masks(codes)
+        out = np.zeros((len(at) - 1, len(self.languages)))
+        for i in range(len(self.languages)):
+            hit = (masks[i // 64] >> masks.dtype.type(i % 64)) & masks.dtype.type(1)
+            out[:, i] = np.diff(np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])[at])
+        return out
 
-    def shares(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def shares(self, column: pa.Array) -> np.ndarray:
         """Texts x languages: the corrected share of a text's n-grams that the language contains."""
-        n, masks, rates = np.diff(at), self.masks(codes), self.false_rates()
-        out = np.zeros((len(n), len(self.languages)))
-        full = n > 0
-        for i, rate in enumerate(rates):
-            hit = ((masks[i // 64] >> masks.dtype.type(i % 64)) & masks.dtype.type(1)).astype(np.int32)
-            if full.any():
-                out[full, i] = np.add.reduceat(hit, at[:-1][full]) / n[full]
-            out[:, i] = np.clip((out[:, i] - rate) / (1 - rate), 0, 1)
-        return out
+        n, out = np.zeros((len(column), 1)), np.zeros((len(column), len(self.languages)))
+        for codes, i, j, at in grams(column):
+            out[i:j] += self.hits(codes, at)
+            n[i:j, 0] += np.diff(at)
+        rates = self.false_rates()
+        return np.clip((out / np.maximum(1, n) - rates) / (1 - rates), 0, 1)
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to partial (lang, gram, n)."""
     for b in batches:
         names, inverse = np.unique(b.column(0).to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-        codes, at = grams(b.column(1))
-        owner = np.repeat(inverse, np.diff(at))
-        for i, name in enumerate(names):
-            gram, n = np.unique(codes[owner == i], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+        for codes, i, j, at in grams(b.column(1)):
+            owner = np.repeat(inverse[i:j], np.diff(at))
+            for k in np.unique(owner):
+                gram, n = np.unique(codes[owner == k], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([names[k]] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
 def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, least_share: float = LEAST_SHARE) -> MaskFilter | None:
@@ -164,7 +163,7 @@ def identify(docs: DataFrame, model: MaskFilter | None, id_col: str = "doc_id",
         known = held.value
         names = np.array([*known.languages, "und"], object)
         for b in batches:
-            shares = known.shares(*grams(b.column(2)))
+            shares = known.shares(b.column(2))
             lettered = b.column(1).to_numpy(zero_copy_only=False)
             best = np.where(lettered, shares.argmax(1), len(names) - 1)
             score = np.where(lettered, shares.max(1), 0.0)
@@ -191,6 +190,6 @@ def in_known_language(docs: DataFrame, model: MaskFilter | None, least: float =
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(held.value.shares(*grams(b.column(at))).max(1, initial=0) >= least))
+            yield b.filter(pa.array(held.value.shares(b.column(at)).max(1, initial=0) >= least))
 
     return common.map_arrow(lettered, kept, docs.schema)

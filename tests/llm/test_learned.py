@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,9 +40,35 @@ def test_bloom_masks_have_all_languages_and_few_others():
     for i in (0, 65):
         f.add(i, codes[:10_000])
     f.add(69, codes[10_000:20_000])
-    shares = f.shares(codes, np.array([0, 10_000, 20_000, 30_000, 30_000]))
-    assert np.allclose(shares[0, [0, 65]], 1) and np.allclose(shares[1, 69], 1)
-    assert shares[2].max() < 0.02 and shares[3].max() == 0 and shares[0, 1] == 0
+    at = np.array([0, 10_000, 20_000, 30_000, 30_000])
+    shares = f.hits(codes, at) / np.maximum(1, np.diff(at))[:, None]
+    assert (shares[0, [0, 65]] == 1).all() and shares[1, 69] == 1
+    rates = f.false_rates()
+    assert np.abs(shares[2] - rates).max() < 0.01 and shares[3].max() == 0 and rates[1] == 0 and 0 < rates[0] < 0.01
+
+
+def test_grams_and_shares_equal_a_plain_count_whatever_the_blocks(rows):
+    texts = [r[1] for r in rows] + [None, "", "x", "Ab c", "é"]
+    want = []
+    for t in texts:
+        x = b" " + bytes(langid._FOLD[np.frombuffer((t or "").encode(), np.uint8)]) + b" "
+        own = [x[i : i + n] for n in langid.LENGTHS for i in range(len(x) - n + 1)]
+        want.append(Counter(int.from_bytes(g, "big") | len(g) << 56 for g in own if g.strip(b" ")))
+    f = langid.MaskFilter(["p", "q"], 1 << 12)
+    f.add(0, np.array(sorted(want[0]), np.uint64))
+    f.add(1, np.array(sorted(want[3]), np.uint64))
+    rates = f.false_rates()
+    for most in (5, 1000, 1 << 18):
+        got = [Counter() for _ in texts]
+        for codes, i, j, at in langid.grams(pa.array(texts), most):
+            for k in range(i, j):
+                got[k].update(codes[at[k - i] : at[k - i + 1]].tolist())
+        assert got == want
+    for w, share in zip(want, f.shares(pa.array(texts)), strict=True):
+        masks = f.masks(np.array(sorted(w), np.uint64))[0] if w else np.zeros(0, np.uint8)
+        n = np.array([w[g] for g in sorted(w)])
+        raw = np.array([(n * ((masks >> k) & 1)).sum() for k in (0, 1)]) / max(1, sum(w.values()))
+        assert np.allclose(share, np.clip((raw - rates) / (1 - rates), 0, 1))
 
 
 def test_language_model_base_and_gain(spark, table):

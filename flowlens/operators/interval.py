@@ -80,31 +80,36 @@ def additive_features(queries: DataFrame, flows: DataFrame, lookbacks: list[int]
 def distinct_features(queries: DataFrame, flows: DataFrame, lookbacks: list[int]) -> DataFrame:
     """Exact distinct counts and Shannon entropies (base 2) per lookback; a null key counts as UNKNOWN.
 
-    The bucketed join of the largest lookback serves all smaller ones by conditional counts. Flows are first
-    counted per (file, end second, keys). Every column is grouped on its own by (query, value), so that no row is
-    expanded beyond the columns that are asked for.
+    No join: a flow enters a lookback's window at its end and leaves it W seconds later. Per value, running counts give
+    what each such second adds to the number of values and to the sum of c log2 c; running sums of these are the
+    measures. The work is linear in the flows, whatever the lookbacks hold; all runs in pieces of a file's time that
+    repeat the longest lookback before them, after one shuffle.
     """
     _check(lookbacks)
-    queries = queries.select("source_file", "Stime").distinct()
     columns = list(dict.fromkeys(DISTINCT.values()))
-    known = flows.select("source_file", "Ltime", *(F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN")).alias(c) for c in columns))
-    known = known.groupBy("source_file", "Ltime", *columns).agg(F.count("*").alias("n"))
-    pairs = interval_pairs(queries, known, max(lookbacks))
-    long = pairs.select("source_file", "t", "Ltime", "n", F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns))).alias("k"))
-    inside = lambda w: F.sum(F.when(F.col("Ltime") > F.col("t") - w, F.col("n")).otherwise(0))
-    per = long.groupBy("source_file", "t", "k.c", "k.v").agg(*(inside(w).alias(f"n_{w}") for w in lookbacks))
-    aggs = []
-    for w in lookbacks:
-        n = F.col(f"n_{w}")
-        aggs += [F.count_if((F.col("c") == c) & (n > 0)).alias(f"{name}_{w}s") for name, c in DISTINCT.items()]
-        for name, c in ENTROPY.items():
-            own = F.when((F.col("c") == c) & (n > 0), n)
-            total = F.sum(own).cast("double")
-            aggs.append(F.round(F.coalesce(F.log2(total) - F.sum(own * F.log2(own.cast("double"))) / total, F.lit(0.0)), 6).alias(f"{name}_{w}s"))
-    found = per.groupBy("source_file", F.col("t").alias("Stime")).agg(*aggs)
-    names = [c for c in found.columns if c not in ("source_file", "Stime")]
-    out = queries.join(found, ["source_file", "Stime"], "left")
-    return out.select("source_file", "Stime", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names))
+    known = flows.select("source_file", F.col("Ltime").alias("s"), *(F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN")).alias(c) for c in columns))
+    asked = queries.select("source_file", F.col("Stime").alias("s")).distinct().withColumn("asked", F.lit(True))
+    both = known.withColumn("asked", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+    both = with_overlap(both, F.col("s"), max(HOURS, 4 * max(lookbacks)), max(lookbacks)).where("own or not asked").repartition("source_file", "piece")
+    moves = lambda w: (F.struct(F.lit(w).alias("w"), F.col("s").alias("time"), F.lit(1).alias("d")), F.struct(F.lit(w).alias("w"), (F.col("s") + w).alias("time"), F.lit(-1).alias("d")))
+    when = F.when(F.col("asked"), F.array(*(F.struct(F.lit(w).alias("w"), F.col("s").alias("time"), F.lit(0).alias("d")) for w in lookbacks))).otherwise(F.array(*(m for w in lookbacks for m in moves(w))))
+    each = both.select("source_file", "piece", "asked", F.inline(when), *columns)
+    what = F.when(F.col("asked"), F.array(F.struct(F.lit("").alias("c"), F.lit("").alias("v")))).otherwise(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns)))
+    each = each.select("source_file", "piece", "asked", "w", "time", "d", F.inline(what))
+    by = ["source_file", "piece", "w"]
+    steps = each.groupBy(*by, "c", "v", "time").agg(F.sum("d").alias("d"), F.max("asked").alias("asked"))
+    steps = steps.withColumn("n", F.sum("d").over(Window.partitionBy(*by, "c", "v").orderBy("time")))
+    weight = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(0.0)
+    n, old = F.col("n"), F.col("n") - F.col("d")
+    of = lambda c, x: F.sum(F.when(F.col("c") == c, x).otherwise(F.lit(0)))
+    sums = {name: of(c, (n > 0).cast("long") - (old > 0).cast("long")) for name, c in DISTINCT.items()} | {name: of(c, weight(n) - weight(old)) for name, c in ENTROPY.items()}
+    seconds = steps.groupBy(*by, "time").agg(of(columns[0], F.col("d")).alias("n"), *(x.alias(k) for k, x in sums.items()), F.max("asked").alias("asked"))
+    sofar = Window.partitionBy(*by).orderBy("time")
+    seconds = seconds.select(*by, "time", "asked", *(F.sum(k).over(sofar).alias(k) for k in ("n", *sums))).where("asked")
+    total = F.col("n").cast("double")
+    shown = {k: F.col(k) for k in DISTINCT} | {k: F.round(F.when(F.col("n") > 0, F.log2(total) - F.col(k) / total).otherwise(0.0), 6) + 0.0 for k in ENTROPY}
+    wide = seconds.groupBy("source_file", "piece", F.col("time").alias("Stime")).agg(*(F.max(F.when(F.col("w") == w, x)).alias(f"{k}_{w}s") for w in lookbacks for k, x in shown.items()))
+    return wide.drop("piece")
 
 
 def causal_features(queries: DataFrame, flows: DataFrame, lookbacks: list[int]) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Seconds since 1970 of a timestamp without time zone; independent of the session's zone.
-_EPOCH = "datediff(cast(ts AS date), date'1970-01-01') * 86400L + hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts))"
+#: Seconds since 1970 of a timestamp without time zone, the hours from noon on put 12 back; independent of the session's zone.
+_EPOCH = "datediff(cast(ts AS date), date'1970-01-01') * 86400L + hour(ts) % 12 * 3600 + minute(ts) * 60 + floor(second(ts))"
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of the first half of each day as network flows, so that nights are gaps at every scale."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("hour(ts) < 12")
+    """All events as network flows, each day in twelve hours, so that nights are gaps at every scale."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = "get_json_object(props, '$.k')"
     return events.selectExpr(
         "event_id AS record_id",
@@ -38,7 +38,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same view for DuckDB.
 FLOWS_SQL = """flows AS (
   SELECT event_id AS record_id, 'part-' || ((day(ts) - 1) // 10)::VARCHAR AS source_file,
-         floor(epoch(ts))::BIGINT AS Stime, (floor(epoch(ts)) + floor(value))::BIGINT AS Ltime, value AS dur,
+         floor(epoch(ts))::BIGINT - hour(ts) // 12 * 43200 AS Stime, (floor(epoch(ts)) + floor(value))::BIGINT - hour(ts) // 12 * 43200 AS Ltime, value AS dur,
          user_id::VARCHAR AS srcip, json_extract_string(props, '$.k') AS dstip,
          event_id * 7919 % 10000 AS sbytes, event_id * 104729 % 8000 AS dbytes, 1 + event_id % 50 AS Spkts, event_id % 40 AS Dpkts,
          CASE event_id % 7 WHEN 0 THEN '0x' || lower(to_hex(event_id % 65536)) WHEN 1 THEN '-' ELSE (event_id % 65536)::VARCHAR END AS sport,
@@ -48,7 +48,7 @@ FLOWS_SQL = """flows AS (
          CASE event_type WHEN 'click' THEN 'http' WHEN 'view' THEN 'dns' WHEN 'error' THEN '-' ELSE NULL END AS service,
          (event_type = 'error')::INT AS Binary_Label,
          CASE WHEN event_type = 'error' THEN 'cat-' || (user_id % 5)::VARCHAR ELSE 'BENIGN' END AS attack_cat
-  FROM events WHERE hour(ts) < 12)"""
+  FROM events)"""
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

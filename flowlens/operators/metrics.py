@@ -34,19 +34,19 @@ def by_type(scored: DataFrame) -> DataFrame:
     return rates(own.crossJoin(F.broadcast(calm)))  # one row
 
 
-#: Pieces into which a group's range of scores is cut for running sums.
-PIECES = 256
+#: Pieces of about as many distinct scores into which a group is cut for running sums.
+PIECES = 64
 
 
 def _levels(scored: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Per distinct score of a group: positives, negatives, and both summed over all lower and all higher scores.
 
-    Running sums are taken inside pieces of the score's range and carried over pieces, so that a group of any
-    number of distinct scores is many tasks'.
+    Running sums are taken inside pieces, cut at approximate quantiles of the distinct scores, and carried over pieces, so
+    that a group of any number of distinct scores is many tasks', however crowded they lie.
     """
     out = scored.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
-    span = out.groupBy(*by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    out = _with(out, span, by).withColumn("piece", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PIECES)).otherwise(0)).drop("lo", "hi")
+    cuts = out.groupBy(*by).agg(F.percentile_approx("score", [k / PIECES for k in range(1, PIECES)], 20 * PIECES).alias("cuts"))
+    out = _with(out, cuts, by).withColumn("piece", F.size(F.filter("cuts", lambda c: c < F.col("score")))).drop("cuts")
     per = out.groupBy(*by, "piece").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     per = carried(per, by, lower=("before", F.sum("n")), higher_pos=("after", F.sum("p")), higher_neg=("after", F.sum("n")))
     own = Window.partitionBy(*by, "piece").orderBy("score")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens import contracts
 from flowlens.functions.scalars import event_id, unix_to_iso
-from flowlens.operators.pieces import carried, numbered, time_piece
+from flowlens.operators.pieces import carried, numbered, time_piece, with_row_before
 
 
 def _file() -> WindowSpec:
@@ -98,11 +98,11 @@ def five_numbers(df: DataFrame, column: str, *by: str) -> DataFrame:
 
 def raw_transitions(flows: DataFrame, *by: str) -> DataFrame:
     """Benign-to-attack transitions of neighbouring rows in input order, per file."""
-    before = F.lag("Binary_Label").over(_file().orderBy("record_id"))
-    return flows.select("source_file", ((F.col("Binary_Label") == 1) & (before == 0)).alias("t")).groupBy("source_file").agg(F.count_if("t").alias("transitions"))
+    rows = with_row_before(flows, F.col("Binary_Label"), ["source_file"], "record_id", "before")
+    return rows.select("source_file", ((F.col("Binary_Label") == 1) & (F.col("before") == 0)).alias("t")).groupBy("source_file").agg(F.count_if("t").alias("transitions"))
 
 
 def backward_steps(flows: DataFrame) -> DataFrame:
     """Rows per file whose Stime lies before that of the row ahead of them in input order."""
-    before = F.lag("Stime").over(_file().orderBy("record_id"))
-    return flows.select("source_file", (F.col("Stime") < before).alias("b")).groupBy("source_file").agg(F.count_if("b").alias("backward_steps"))
+    rows = with_row_before(flows, F.col("Stime"), ["source_file"], "record_id", "before")
+    return rows.select("source_file", (F.col("Stime") < F.col("before")).alias("b")).groupBy("source_file").agg(F.count_if("b").alias("backward_steps"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens import contracts
-from flowlens.operators.pieces import ROWS, carried, time_piece
+from flowlens.operators.pieces import ROWS, carried, time_piece, with_row_before
 
 DAY, HOUR = 86_400, 3600
 
@@ -134,7 +134,7 @@ def contiguous_blocks(flows: DataFrame, *extra: str) -> DataFrame:
 
 def disorder(rows: DataFrame, by: str = "source_file", order: str = "record_id") -> DataFrame:
     """Per group: rows in input order that lie before the row ahead of them by (Stime, Ltime), and repeated order keys."""
-    own = Window.partitionBy(by).orderBy(order)
     now = F.struct("Stime", "Ltime")
-    each = rows.select(by, (now < F.lag(now).over(own)).alias("back"), (F.col(order) == F.lag(order).over(own)).alias("again"))
+    seen = with_row_before(rows, F.struct(now.alias("time"), F.col(order).alias("key")), [by], order, "before")
+    each = seen.select(by, (now < F.col("before.time")).alias("back"), (F.col(order) == F.col("before.key")).alias("again"))
     return each.groupBy(by).agg(F.count("*").alias("n_rows"), F.count_if("back").alias("out_of_order"), F.count_if("again").alias("repeated"))

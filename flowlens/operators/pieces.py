@@ -41,3 +41,12 @@ def numbered(df: DataFrame, name: str, time: str, order: list[str], lead: list[s
     counts = counts.select(*lead, "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ahead"))
     inside = F.row_number().over(Window.partitionBy(*lead, "piece").orderBy(time, *order))
     return out.withColumn("__inside", inside).join(counts, [*lead, "piece"]).withColumn(name, F.col("__ahead") + F.col("__inside")).drop("piece", "__ahead", "__inside")
+
+
+def with_row_before(df: DataFrame, value: Column, by: list[str], order: str, name: str) -> DataFrame:
+    """df with a value of the row before in the order of a column of numbers, per `by`; a piece's first row gets it from the pieces before."""
+    out = df.withColumn("piece", F.floor(F.col(order) / ROWS)).withColumn("__v", F.struct(value.alias("x")))
+    ahead = carried(out.groupBy(*by, "piece").agg(F.max_by("__v", order).alias("v")), by, __ahead=("before", F.last("v")))
+    inside = F.lag("__v").over(Window.partitionBy(*by, "piece").orderBy(order))
+    out = out.withColumn("__lag", inside).join(ahead, [*by, "piece"], "left")
+    return out.withColumn(name, F.coalesce("__lag", "__ahead")["x"]).drop("piece", "__v", "__lag", "__ahead")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _shared(spark: SparkSession) -> str:
-    path = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='flowlens-')}"
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='flowlens-')}"
     return f"{path.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -24,6 +29,13 @@ def table_stream(table: DataFrame) -> DataFrame:
     return table.sparkSession.readStream.schema(table.schema).parquet(path)
 
 
+def stored(table: DataFrame) -> DataFrame:
+    """Cut the lineage: a table in the shared folder, read back."""
+    path = f"{_shared(table.sparkSession)}/table"
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def drained(stream: DataFrame) -> DataFrame:
     """The append output of a stream over all that is there now, as a table in the shared folder."""
     out = _shared(stream.sparkSession)
@@ -32,6 +44,11 @@ def drained(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/out")
 
 
+def polled(stream: DataFrame, path: str, every: str = "5 seconds"):
+    """A running query that appends what is new to a folder, looked for at a fixed pace."""
+    return stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(processingTime=every).start()
+
+
 def with_event_time(flows: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Flows with the event time at which they completed, and a watermark."""
     return flows.withColumn("ended", F.timestamp_seconds("Ltime")).withWatermark("ended", late)
@@ -53,16 +70,14 @@ def last_rows(flows: DataFrame, width: int, feature: str = "dur") -> DataFrame:
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held = np.array(state.get[0] if state.exists else [], float)
         rows = pd.concat(list(batches)).sort_values(["Ltime", "record_id"])
-        out = []
-        for r in rows.itertuples():
-            held.append(float(getattr(r, feature)))
-            if len(held) >= width:
-                held = held[-width:]
-                out.append((key[0], int(r.record_id), list(held)))
-        state.update((held[-(width - 1) :] if width > 1 else [],))
-        yield pd.DataFrame(out, columns=["source_file", "target_record_id", "values"])
+        values = np.concatenate([held, rows[feature].to_numpy(float)])
+        state.update((values[len(values) - min(len(values), width - 1) :].tolist(),))
+        if len(values) >= width:
+            whole = np.lib.stride_tricks.sliding_window_view(values, width)
+            last = rows["record_id"].to_numpy()[width - 1 - len(held) :]
+            yield pd.DataFrame({"source_file": key[0], "target_record_id": last, "values": list(whole)})
 
     needed = flows.select("source_file", "record_id", "Ltime", feature)
     return needed.groupBy("source_file").applyInPandasWithState(step, "source_file string, target_record_id long, values array<double>", "held array<double>", "append", GroupStateTimeout.NoTimeout)

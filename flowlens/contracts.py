@@ -63,21 +63,12 @@ def require_unique(df: DataFrame, keys: Iterable[str], message: str = "repeated
     return df
 
 
-def require_binary(df: DataFrame, column: str) -> DataFrame:
-    require_empty(df.where(~F.col(column).isin(0, 1) | F.col(column).isNull()).select(column), f"{column} must be 0 or 1")
-    return df
-
-
 def require_schema(df: DataFrame, other: DataFrame) -> DataFrame:
     if df.schema != other.schema:
         raise ContractError("schemas differ")
     return df
 
 
-def total_order() -> list[Column]:
-    return [F.col(c) for c in ORDER]
-
-
 def require_disjoint(a: DataFrame, b: DataFrame, column: str) -> None:
     """No value of the column is in both."""
     require_empty(a.select(column).join(b.select(column), column, "left_semi"), f"{column} in both")

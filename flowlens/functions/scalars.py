@@ -36,6 +36,13 @@ def unix_to_iso(seconds: Column) -> Column:
     return F.concat(F.date_format(shown, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
 
 
+def alert_window(timestamp: Column, seconds: int = 5) -> tuple[Column, Column]:
+    """From `seconds` before an ISO time to it, as text; a time that cannot be read is both ends."""
+    at = F.try_to_timestamp(timestamp)
+    shown = F.regexp_replace(F.date_format(F.to_utc_timestamp(at, F.current_timezone()) - F.expr(f"INTERVAL {seconds} SECONDS"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), r"\.000Z$", "Z")
+    return F.coalesce(shown, timestamp), timestamp
+
+
 def event_id(prefix: str, number: Column) -> Column:
     return F.format_string(f"{prefix}%06d", number)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import flood_score, safe_divide, severity_scenario
+from flowlens.operators.pieces import numbered
 
 
 def scored(samples: DataFrame) -> DataFrame:
@@ -16,10 +17,10 @@ def scored(samples: DataFrame) -> DataFrame:
     return out.withColumn("predicted_label", hit).withColumn("correct", hit == F.col("Binary_Label"))
 
 
-def with_times(samples: DataFrame, start, seconds: int = 5) -> DataFrame:
-    """Event times `seconds` apart per group of the traffic, in order of sample ids."""
-    place = F.row_number().over(Window.partitionBy("traffic_group").orderBy("sample_id")) - 1
-    return samples.withColumn("timestamp", start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), place * seconds))
+def with_times(samples: DataFrame, start, order: str, seconds: int = 5) -> DataFrame:
+    """Event times `seconds` apart over all samples, in the order of a column of unique numbers."""
+    out = numbered(samples, "__place", order, [])
+    return out.withColumn("timestamp", start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("__place") - 1) * seconds)).drop("__place")
 
 
 def group_summary(rows: DataFrame) -> DataFrame:

@@ -375,6 +375,24 @@ def scenario_windows(spark: SparkSession, sf: str) -> DataFrame:
     return files.scenario_windows(events, 3, ["sport", "dur", "sbytes", "Sload", "ct_srv_src", "sloss", "sttl", "other"]).drop("prediction", "confidence")
 
 
+def scenario_template(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows over all of the template's features."""
+    events = _history(spark, sf).select("seq", "prediction", "confidence")
+    return files.scenario_windows(events, 2, [*files.TEMPLATE, "other"]).select("seq", "step", "sport", "dur", "tcprtt", "ct_dst_ltm", "other")
+
+
+def scenario_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """A synthetic scenario, held against its ranges."""
+    return files.outside_scenario(files.synthetic_scenario(spark, 2000))
+
+
+def scenario_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Flows as samples, 5 seconds apart in the order of their ids."""
+    start = F.to_timestamp(F.lit("2026-01-01 00:00:00"))
+    out = scenario.with_times(flows(spark, sf).select("record_id"), start, "record_id")
+    return out.select("record_id", (F.unix_timestamp("timestamp") - F.unix_timestamp(start)).alias("seconds"))
+
+
 def labelled_features(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of attack-free instants with their features."""
     f = flows(spark, sf)
@@ -415,10 +433,11 @@ def top_features_rf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forest_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = order.holdout_splits(_sessions(spark, sf), WIDTH).where("not purged")
+    """Plans are cut by tables in the shared folder: a fit runs many jobs over its input."""
+    rows = streams.stored(order.holdout_splits(_sessions(spark, sf), WIDTH).where("not purged"))
     rows = order.contiguous_blocks(rows, "split").withColumn("hint", F.col("Binary_Label") * (F.col("record_id") % 4 > 0).cast("int"))
     w = windows.realized_windows(rows, ["hint", "dur", "sbytes"], WIDTH, vector=True)
     fold = rows.select(F.col("record_id").alias("target_record_id"), "split")
-    w = w.join(fold, "target_record_id")
+    w = streams.stored(w.join(fold, "target_record_id"))
     model = models.classifier("random_forest", trees=10, depth=5).fit(w.where("split = 'train'"))
     return models.score(model, w.where("split = 'test'")).select("target_record_id", "target_label", F.round("y_score", 6).alias("y_score"), "y_pred")

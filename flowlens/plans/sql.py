@@ -238,6 +238,13 @@ s AS (SELECT """
     "most_recent_prediction": f"WITH {_HIST} SELECT prediction, confidence FROM hist ORDER BY timestamp DESC, seq DESC LIMIT 1",
     "decided_history": f"WITH {_HIST} SELECT seq, concat_ws('-', seq::VARCHAR, prediction, prediction, model) AS alert_id, 'resolved' AS status FROM hist WHERE seq % 9 = 0 AND prediction = 'Normal Traffic'",
     "mock_predictions": "SELECT event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'DDoS' WHEN 1 THEN 'Suspicious Traffic' ELSE 'Normal Traffic' END AS prediction, CASE event_id % 3 WHEN 0 THEN 0.97 WHEN 1 THEN 0.82 ELSE 0.42 END::DOUBLE AS confidence FROM events",
+    "scenario_template": f"""WITH {_HIST}, e AS (SELECT seq, lower(prediction) LIKE '%syn flood%' AS a, unnest([0, 1]) AS step FROM hist)
+SELECT seq, step, CASE WHEN a THEN 23357 ELSE 49152 END::DOUBLE + step AS sport, CASE WHEN a THEN 0.6921604882400858 ELSE 1.2 END::DOUBLE AS dur, CASE WHEN a THEN 500 ELSE 0.02 END::DOUBLE AS tcprtt,
+  CASE WHEN a THEN -0.3333333333333333 ELSE 0 END::DOUBLE AS ct_dst_ltm, 0::DOUBLE AS other FROM e""",
+    "scenario_ranges": "SELECT * FROM (VALUES ('normal', 2000::BIGINT, 2000::BIGINT, 0::BIGINT, 'safe'), ('syn_flood_low', 2000, 2000, 0, 'warning'), ('syn_flood_medium', 2000, 2000, 0, 'critical'), ('syn_flood_high', 2000, 2000, 0, 'critical')) AS t(traffic_group, n_rows, n_ids, n_outside, expected_severity)",
+    "scenario_times": f"WITH {FLOWS_SQL} SELECT record_id, 5 * (row_number() OVER (ORDER BY record_id) - 1)::BIGINT AS seconds FROM flows",
+    "record_fingerprint": f"""WITH {FLOWS_SQL}, p AS (SELECT record_id // 10000 AS p, count(*) AS n, sha256(string_agg(record_id::VARCHAR, ',' ORDER BY record_id)) AS d FROM flows GROUP BY 1)
+SELECT sum(n)::BIGINT AS n, sha256(string_agg(d, ',' ORDER BY p)) AS sha256 FROM p""",
     "scenario_windows": f"""WITH {_HIST}, e AS (SELECT seq, confidence, lower(prediction) LIKE '%syn flood%' AS a, CASE WHEN lower(prediction) LIKE '%medium%' THEN 1.5 WHEN lower(prediction) LIKE '%high%' THEN 2.0 ELSE 1.0 END::DOUBLE AS p, unnest([0, 1, 2]) AS step FROM hist)
 SELECT seq, step, 49152::DOUBLE + step AS sport, CASE WHEN a THEN greatest(0.001::DOUBLE, 0.04::DOUBLE / p) ELSE 1.2 END::DOUBLE AS dur, CASE WHEN a THEN 1200 * p ELSE 320 END * (step + 1) / 3::DOUBLE AS sbytes,
   CASE WHEN a THEN 900000 * p ELSE 1200 END * (step + 1) / 3::DOUBLE AS Sload, CASE WHEN a THEN 40 * p ELSE 2 END::DOUBLE AS ct_srv_src, CASE WHEN a THEN confidence * 8 ELSE 0 END::DOUBLE AS sloss, CASE WHEN a THEN 254 ELSE 31 END::DOUBLE AS sttl, 0::DOUBLE AS other FROM e""",

@@ -44,67 +44,130 @@ def event_json(spark: SparkSession, path: str, schema: str = PREDICTION) -> Data
     return spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").schema(schema).json(path).dropna("all")
 
 
+def _features(payloads: DataFrame, column: str) -> DataFrame:
+    """payloads with v (the features, under their key or bare), its kind and, if it is an object, its values by name."""
+    body = payloads.withColumn("__body", F.try_parse_json(column))
+    body = body.withColumn("__v", F.expr("coalesce(try_variant_get(__body, '$.features', 'variant'), __body)")).withColumn("__kind", F.expr("coalesce(schema_of_variant(__v), '')"))
+    return body.withColumn("__of", F.when(F.col("__kind").startswith("OBJECT"), F.expr("try_variant_get(__v, '$', 'map<string, variant>')"))).withColumn(
+        "__columnar", F.expr("coalesce(size(__of) > 0 AND forall(map_values(__of), x -> schema_of_variant(x) LIKE 'ARRAY%'), false)")
+    ).withColumn("__lengths", F.expr("CASE WHEN __columnar THEN transform(map_values(__of), x -> size(try_variant_get(x, '$', 'array<variant>'))) END"))
+
+
+def payload_errors(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """Request bodies that are refused, with error: neither object nor list, an empty list, or columns of unequal length."""
+    body = _features(payloads, column)
+    error = F.expr("""CASE WHEN NOT (__kind LIKE 'ARRAY%' OR __kind LIKE 'OBJECT%') THEN 'neither an object nor a list'
+        WHEN __kind LIKE 'ARRAY%' AND size(try_variant_get(__v, '$', 'array<variant>')) = 0 THEN 'no window'
+        WHEN __columnar AND size(array_distinct(__lengths)) > 1 THEN 'columns of unequal length' END""")
+    return body.withColumn("error", error).where("error IS NOT NULL").select(*payloads.columns, "error")
+
+
 def payload_rows(payloads: DataFrame, fields: list[str], column: str = "payload") -> DataFrame:
-    """Request bodies to rows: a list of objects, an object of equally long lists (the first tells the length), or one object.
+    """Request bodies to rows: a list of objects, an object of equally long lists, or one object, bare or under "features".
 
-    Values are numbers or texts as text; a nested value, a boolean or null makes the field missing.
+    Values are numbers or texts, as text; a nested value, a boolean or null makes the field missing, and so does an item
+    that is no object. Bodies that payload_errors names give no row.
     """
-    item = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    body = F.trim(F.col(column))
-    listed = F.from_json(body, T.ArrayType(item))
-    columnar = F.from_json(body, T.StructType([T.StructField(f, T.ArrayType(T.StringType())) for f in fields]))
-    is_columnar = F.get_json_object(body, f"$.{fields[0]}").startswith("[")
-    places = F.sequence(F.lit(0), F.size(columnar[fields[0]]) - 1)
-    zipped = F.transform(places, lambda i: F.struct(*(F.get(columnar[f], i).alias(f) for f in fields)))
-    rows = F.when(body.startswith("["), listed).when(is_columnar, zipped).otherwise(F.array(F.from_json(body, item)))
-    plain = lambda c: F.when(~c.rlike(r"^(\{|\[)") & ~c.isin("true", "false"), c)
-    out = payloads.select("*", F.posexplode(rows).alias("row", "r"))
-    return out.select(*payloads.columns, "row", *(plain(F.col("r")[f]).alias(f) for f in fields))
-
-
-#: Ranges of each generated column for normal traffic and for low, medium and high floods.
-_RANGES = {
-    "flow_duration_ms": ((6000, 30000), (2500, 4900), (1500, 4000), (500, 2500)),
-    "total_fwd_packets": ((10, 60), (80, 140), (140, 260), (260, 600)),
-    "total_bwd_packets": ((10, 60), (20, 40), (20, 50), (10, 60)),
-    "total_length_fwd_packets": ((2000, 60000), (4000, 9000), (8000, 16000), (15000, 40000)),
-    "total_length_bwd_packets": ((2000, 60000), (1000, 3000), (500, 2500), (200, 2000)),
-    "fwd_packet_length_max": ((200, 1500), (60, 80), (60, 80), (54, 80)),
-    "bwd_packet_length_max": ((200, 1500), (54, 80), (54, 70), (0, 60)),
-    "flow_bytes_s": ((500, 20000), (3000, 9000), (8000, 30000), (30000, 90000)),
-    "flow_packets_s": ((5, 60), (90, 139), (140, 400), (400, 1200)),
-    "syn_flag_count": ((1, 5), (60, 120), (120, 240), (240, 580)),
-    "ack_flag_count": ((8, 50), (5, 14), (5, 20), (1, 20)),
-    "rst_flag_count": ((0, 2), (0, 6), (2, 12), (5, 30)),
-    "psh_flag_count": ((1, 20), (0, 3), (0, 2), (0, 1)),
-    "unique_dst_ports": ((1, 6), (1, 3), (1, 2), (1, 2)),
-    "same_srv_rate": ((0.1, 0.6), (0.83, 0.95), (0.85, 0.98), (0.9, 1.0)),
-    "failed_login_attempts": ((0, 2), (0, 2), (0, 2), (0, 2)),
+    body = _features(payloads, column).where("size(coalesce(array_distinct(__lengths), array(0))) = 1")
+    places = "transform(sequence(0, __lengths[0] - 1), i -> map_from_entries(transform(map_entries(__of), e -> struct(e.key, try_variant_get(e.value, '$', 'array<variant>')[i]))))"
+    rows = F.expr(f"""CASE WHEN __kind LIKE 'ARRAY%' THEN transform(try_variant_get(__v, '$', 'array<variant>'), x -> coalesce(try_variant_get(x, '$', 'map<string, variant>'), map()))
+        WHEN __columnar THEN CASE WHEN __lengths[0] > 0 THEN {places} ELSE array() END
+        WHEN __kind LIKE 'OBJECT%' THEN array(__of) END""")
+    out = body.select(*payloads.columns, F.posexplode(rows).alias("row", "__r"))
+
+    def value(name: str):
+        x = F.try_element_at("__r", F.lit(name))
+        plain = F.schema_of_variant(x).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|STRING)")
+        return F.when(plain, F.try_variant_get(x, "$", "string")).alias(name)
+
+    return out.select(*payloads.columns, "row", *map(value, fields))
+
+
+#: Fixed ranges of a scenario's samples, both ends included, for normal traffic and floods of low, medium and high
+#: intensity: whole numbers, but for same_srv_rate. Packets back and ACK flags of normal traffic lie around the packets.
+RANGES = {
+    "flow_duration_ms": ((8000, 60000), (2200, 5000), (1000, 2400), (450, 1200)),
+    "total_fwd_packets": ((25, 130), (260, 520), (700, 1300), (1300, 2400)),
+    "total_bwd_packets": (None, (60, 170), (30, 95), (8, 45)),
+    "fwd_packet_length_max": ((300, 1200), (64, 180), (64, 180), (64, 180)),
+    "bwd_packet_length_max": ((300, 1200), (48, 160), (48, 160), (48, 160)),
+    "syn_flag_count": ((1, 12), (180, 420), (620, 1160), (1180, 2250)),
+    "ack_flag_count": (None, (45, 140), (24, 85), (6, 38)),
+    "rst_flag_count": ((0, 2), (0, 4), (0, 4), (0, 4)),
+    "psh_flag_count": ((2, 20), (0, 6), (0, 6), (0, 6)),
+    "unique_dst_ports": ((3, 16), (1, 2), (1, 2), (1, 2)),
+    "same_srv_rate": ((0.20, 0.78), (0.82, 0.93), (0.90, 0.98), (0.96, 1.00)),
+    "failed_login_attempts": ((0, 1), (0, 0), (0, 0), (0, 0)),
 }
+LEVELS = ("normal", "low", "medium", "high")
 
 
 def synthetic_scenario(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """n normal samples and n of each of three flood intensities; the same rows for a seed, at any partitioning."""
-    level = F.col("level")
-    share = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("i"), level), F.lit(1 << 20)) / float(1 << 20)
-    name = lambda *x: F.element_at(F.array(*map(F.lit, x)), level + 1)
-
-    def value(k: int, column: str, bounds: tuple):
-        at = F.element_at(F.array(*(F.lit(float(a)) for a, _ in bounds)), level + 1)
-        wide = F.element_at(F.array(*(F.lit(float(b - a)) for a, b in bounds)), level + 1)
-        x = at + wide * share(k)
-        return (x if column == "same_srv_rate" or column.endswith("_s") else F.floor(x).cast("double")).alias(column)
-
-    base = spark.range(n).select(F.col("id").alias("i"), F.explode(F.array(*map(F.lit, range(4)))).alias("level"))
-    return base.select(
-        F.format_string("S%08d", F.col("i") * 4 + level).alias("sample_id"), name("normal", "low", "medium", "high").alias("traffic_group"),
-        name("Normal Traffic", "SYN Flood - Low Intensity", "SYN Flood - Medium Intensity", "SYN Flood - High Intensity").alias("expected_prediction"),
-        name("safe", "warning", "warning", "critical").alias("expected_severity"),
-        *(value(k, c, b) for k, (c, b) in enumerate(_RANGES.items())),
-        (level > 0).cast("int").alias("Binary_Label"), F.when(level > 0, "SYN Flood").otherwise("BENIGN").alias("Attack_Type"),
-    )
-
+    """n normal samples and n of each of three flood intensities; the same rows for a seed, at any partitioning.
 
+    Lengths follow from packets and their largest length, at a mean of 45 to 75 % of it, and rates from sums and duration.
+    """
+    if n < 1:
+        raise contracts.ContractError("a scenario needs a sample per group")
+    level = F.col("level")
+    share = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("i"), level), F.lit(1 << 30)) / float(1 << 30)
+    whole = lambda k, low, high: F.floor(low + share(k) * (high - low + 1)).cast("double")
+    pick = lambda xs: F.element_at(F.array(*(F.lit(float(x)) for x in xs)), level + 1)
+    name = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), level + 1)
+    out = spark.range(1, n + 1).select(F.col("id").alias("i"), F.explode(F.array(*map(F.lit, range(4)))).alias("level"))
+    around = {"total_bwd_packets": ("total_fwd_packets", 20, 35, 45), "ack_flag_count": ("total_bwd_packets", 10, 15, 20)}
+    for k, (c, bounds) in enumerate(RANGES.items()):
+        low, high = (pick([b[j] if b else 0 for b in bounds]) for j in (0, 1))
+        if c in around:
+            of, least, under, over = around[c]
+            low = F.when(level == 0, F.greatest(F.lit(float(least)), F.col(of) - under)).otherwise(low)
+            high = F.when(level == 0, F.col(of) + over).otherwise(high)
+        out = out.withColumn(c, F.round(low + share(k) * (high - low), 2) if c == "same_srv_rate" else whole(k, low, high))
+    for k, way in enumerate(("fwd", "bwd")):
+        longest = F.col(f"{way}_packet_length_max")
+        mean = F.round(longest * 0.45 + share(100 + k) * longest * 0.30, 2)
+        out = out.withColumn(f"total_length_{way}_packets", F.floor(F.col(f"total_{way}_packets") * mean).cast("double"))
+    seconds = F.col("flow_duration_ms") / 1000
+    kind = name("Normal Traffic", *(f"SYN Flood - {x.title()} Intensity" for x in LEVELS[1:]))
+    out = out.withColumns({
+        "flow_bytes_s": F.round((F.col("total_length_fwd_packets") + F.col("total_length_bwd_packets")) / seconds, 2),
+        "flow_packets_s": F.round((F.col("total_fwd_packets") + F.col("total_bwd_packets")) / seconds, 2),
+        "sample_id": F.format_string("%s-%s", name("normal", *(f"syn-flood-{x}" for x in LEVELS[1:])), F.lpad(F.col("i").cast("string"), F.greatest(F.lit(3), F.length(F.col("i").cast("string"))), F.lit("0"))),
+        "traffic_group": name("normal", *(f"syn_flood_{x}" for x in LEVELS[1:])),
+        "expected_prediction": kind, "expected_severity": name("safe", "warning", "critical", "critical"),
+        "Binary_Label": (level > 0).cast("int"), "Attack_Type": kind,
+    })
+    return out.select(*(f.name for f in SCENARIO))
+
+
+def outside_scenario(samples: DataFrame) -> DataFrame:
+    """Per traffic group of a synthetic scenario: rows, distinct ids, and rows that break a range or a derivation."""
+    level = F.array_position(F.array(*map(F.lit, LEVELS)), F.regexp_replace("traffic_group", "^syn_flood_", "")).cast("int")
+    good = F.lit(True)
+    for c, bounds in RANGES.items():
+        low, high = (F.element_at(F.array(*(F.lit(float(b[j])) if b else F.lit(None).cast("double") for b in bounds)), level) for j in (0, 1))
+        good = good & F.coalesce((F.col(c) >= low) & (F.col(c) <= high), F.lit(True))
+    fwd, bwd, ack, seconds = F.col("total_fwd_packets"), F.col("total_bwd_packets"), F.col("ack_flag_count"), F.col("flow_duration_ms") / 1000
+    normal = (bwd >= F.greatest(F.lit(20), fwd - 35)) & (bwd <= fwd + 45) & (ack >= F.greatest(F.lit(10), bwd - 15)) & (ack <= bwd + 20)
+    good = good & ((level > 1) | normal)
+    for way in ("fwd", "bwd"):
+        mean = F.col(f"total_length_{way}_packets") / F.col(f"total_{way}_packets") / F.col(f"{way}_packet_length_max")
+        good = good & mean.between(0.40, 0.76)
+    length = F.col("total_length_fwd_packets") + F.col("total_length_bwd_packets")
+    good = good & (F.abs(F.col("flow_bytes_s") - length / seconds) < 0.01) & (F.abs(F.col("flow_packets_s") - (fwd + bwd) / seconds) < 0.01)
+    return samples.groupBy("traffic_group").agg(F.count("*").alias("n_rows"), F.count_distinct("sample_id").alias("n_ids"), F.count_if(~F.coalesce(good, F.lit(False))).alias("n_outside"), F.min("expected_severity").alias("expected_severity"))
+
+
+#: The window of an attack where all of these features are asked for (fixed); sport grows by 1 a step.
+TEMPLATE = {
+    "sport": 23357.0, "dsport": 80.0, "dur": 0.6921604882400858, "sbytes": -0.27913849646862504, "dbytes": 0.4902893473607708, "sttl": 31.0, "dttl": 254.0,
+    "sloss": -0.2857142857142857, "dloss": 0.3333333333333333, "Sload": -1.17510058087282, "Dload": 0.04959044433092215, "Spkts": -0.08695652173913043,
+    "Dpkts": 0.14285714285714285, "stcpb": 0.014064952612622406, "dtcpb": 0.019966255078546786, "smeansz": 0.06060606060606061, "dmeansz": 1.9545454545454546,
+    "trans_depth": 1.0, "res_bdy_len": 9.394909401310617, "Sjit": 0.5466210800854902, "Djit": 14.077697718423678, "Stime": -0.015487268416648664,
+    "Ltime": -0.015487261637967667, "Sintpkt": 1.9100044581417834, "Dintpkt": 0.9202447792102867, "tcprtt": 500.0, "synack": 10.606701940035274,
+    "ackdat": 306.9726027397261, "ct_state_ttl": 1.0, "ct_flw_http_mthd": 1.0, "ct_srv_src": -0.16666666666666666, "ct_srv_dst": -0.4,
+    "ct_dst_ltm": -0.3333333333333333, "ct_src_ltm": -0.6666666666666666, "proto_tcp": 1.0, "state_FIN": 1.0, "service_http": 1.0,
+}
 #: A scenario window's values (fixed): for an attack, for other traffic, whether an attack's grows with its
 #: intensity, and whether the value grows along the window.
 _WINDOW = {
@@ -119,7 +182,11 @@ _WINDOW = {
 
 
 def scenario_windows(events: DataFrame, width: int, features: list[str]) -> DataFrame:
-    """Each event (prediction, confidence) as `width` rows of the features; those without a rule are 0."""
+    """Each event (prediction, confidence) as `width` rows of the features; those without a rule are 0.
+
+    An attack is the template, if all of its features are asked for.
+    """
+    whole = all(f in features for f in TEMPLATE)
     p = F.lower("prediction")
     attack = p.contains("syn flood")
     power = F.when(p.contains("medium"), 1.5).when(p.contains("high"), 2.0).otherwise(1.0)
@@ -139,4 +206,10 @@ def scenario_windows(events: DataFrame, width: int, features: list[str]) -> Data
         out = F.when(attack, hit * power if stronger else F.lit(hit)).otherwise(calm)
         return out * along if grows else out
 
-    return each.withColumns({f: value(f) for f in features})
+    def shown(name: str):
+        if not whole:
+            return value(name)
+        fixed = F.lit(TEMPLATE.get(name, 0.0)) + (F.col("step") if name == "sport" else 0.0)
+        return F.when(attack, fixed).otherwise(value(name))
+
+    return each.withColumns({f: shown(f) for f in features})

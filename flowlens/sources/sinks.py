@@ -6,9 +6,10 @@ import hashlib
 import json
 import os
 from collections.abc import Callable
+from itertools import islice
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens import contracts
@@ -23,12 +24,17 @@ def guard(inputs: list[str], outputs: list[str]) -> None:
 
 def write_parquet(df: DataFrame, path: str, overwrite: bool = False, partition_by: list[str] | None = None, codec: str = "zstd") -> int:
     """Write, count what was written and compare; returns the rows. Existing output is an error unless overwrite."""
-    writer = df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", codec)
+    given = Observation()
+    counted = df.observe(given, F.count(F.lit(1)).alias("n"))
+    writer = counted.write.mode("overwrite" if overwrite else "errorifexists").option("compression", codec)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     back = df.sparkSession.read.parquet(path)
     if sorted(back.columns) != sorted(df.columns):
         raise contracts.ContractError(f"{path} has other columns than were written")
-    return back.count()
+    n = back.count()
+    if n != given.get["n"]:
+        raise contracts.ContractError(f"{path} has {n} rows, {given.get['n']} were written")
+    return n
 
 
 def readable(spark: SparkSession, path: str) -> None:
@@ -52,14 +58,11 @@ def write_csv(table: DataFrame, path: str) -> None:
     table.coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
 
 
-def id_digest(df: DataFrame, column: str = "record_id") -> DataFrame:
-    """An order-free digest of ids: count, sum and exclusive-or of their hashes; it aggregates at any size."""
-    h = F.xxhash64(column)
-    return df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("xor"), F.sum(F.pmod(h, F.lit(1 << 40))).alias("total"))
-
-
-def names_digest(names: list[str]) -> str:
-    return hashlib.sha256("\n".join(names).encode()).hexdigest()
+def id_digest(df: DataFrame, column: str = "record_id", piece: int = 10_000) -> DataFrame:
+    """A SHA-256 of the ids in their order: of the digests, one for each `piece` ids' range, of the ids in it, joined by commas."""
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["v"]), ",").cast("binary"), 256)
+    each = df.groupBy(F.floor(F.col(column) / piece).alias("p")).agg(F.count("*").alias("n"), joined(F.struct(F.col(column).alias("o"), F.col(column).cast("string").alias("v"))).alias("d"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined(F.struct(F.col("p").alias("o"), F.col("d").alias("v"))).alias("sha256"))
 
 
 def file_digest(path: str) -> str:
@@ -74,12 +77,12 @@ def verify_sidecar(path: str) -> None:
 
 
 def alert_batches(notify: Callable[[list[dict]], None] | None = None, most: int = 20) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch hook that hands the critical predictions of a batch to `notify`; without one it does nothing."""
+    """A foreachBatch hook that hands all critical predictions of a batch to `notify`, `most` at a time; without one it does nothing."""
     def each(batch: DataFrame, epoch: int) -> None:
         if notify is None:
             return
-        rows = batch.where((F.lower(F.trim("prediction")) != "normal") & (F.col("confidence") >= 0.9)).limit(most).collect()
-        if rows:
-            notify([r.asDict() for r in rows])
+        rows = batch.where((F.lower(F.trim("prediction")) != "normal") & (F.col("confidence") >= 0.9)).toLocalIterator()
+        while some := [r.asDict() for r in islice(rows, most)]:
+            notify(some)
 
     return each

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from flowlens import contracts
 from flowlens.functions import scalars
-from flowlens.operators import audit, clean, history, interval, labels, metrics, onset, order, prep, scenario, splits, windows
+from flowlens.operators import audit, clean, history, interval, labels, metrics, onset, order, prep, report, scenario, splits, windows
 from flowlens.sources import files, sinks
 
 BASE = 1_421_927_400
@@ -246,10 +246,43 @@ def test_scenario_and_sources(spark, tmp_path):
     assert sorted(map(tuple, files.scenario_csv(spark, f"{tmp_path}/csv").select("sample_id", "syn_flag_count").collect())) == sorted(map(tuple, s.select("sample_id", "syn_flag_count").collect()))
     (tmp_path / "e.json").write_text('[{"prediction": "a", "confidence": 0.5}, {"prediction": "b"}]')
     assert files.event_json(spark, str(tmp_path / "e.json")).count() == 2
-    bodies = spark.createDataFrame([('[{"a": 1, "b": "x"}, {"a": 2}]',), ('{"a": [3, 4], "b": ["y", "z"]}',), ('{"a": 5, "b": true}',)], "payload string")
-    assert [(r.a, r.b) for r in files.payload_rows(bodies, ["a", "b"]).orderBy("a").collect()] == [("1", "x"), ("2", None), ("3", "y"), ("4", "z"), ("5", None)]
-    w = files.scenario_windows(spark.createDataFrame([("X High", 10.0)], "prediction string, v double"), 2, ["v"])
-    assert [r.v for r in w.orderBy("step").collect()] == [15.0, 20.0]
+    w = files.scenario_windows(spark.createDataFrame([("SYN Flood - High Intensity", 0.5), ("Normal", 0.9)], "prediction string, confidence double"), 2, ["sbytes", "sport", "sloss", "dur", "x"])
+    got = {(r.prediction[:3], r.step): (r.sbytes, r.sport, r.sloss, r.dur, r.x) for r in w.collect()}
+    assert got == {("SYN", 0): (1200.0, 49152.0, 4.0, 0.02, 0.0), ("SYN", 1): (2400.0, 49153.0, 4.0, 0.02, 0.0), ("Nor", 0): (160.0, 49152.0, 0.0, 1.2, 0.0), ("Nor", 1): (320.0, 49153.0, 0.0, 1.2, 0.0)}
+    one = files.outside_scenario(s).collect()
+    assert len(one) == 4 and all((r.n_rows, r.n_ids, r.n_outside) == (25, 25, 0) for r in one)
+    assert s.where("sample_id = 'syn-flood-low-007'").count() == 1
+    with pytest.raises(contracts.ContractError):
+        files.synthetic_scenario(spark, 0)
+
+
+def test_request_bodies(spark):
+    bodies = ['{"features": [{"a": 1, "b": "true"}, {"a": 0.5, "b": "[x"}]}', '{"features": {"a": [3, 4], "b": ["y", null]}}', '{"features": {"a": 5, "b": true}, "model": "m"}', '[{"a": {"c": 1}, "b": [1]}, 7]']
+    bad = ['{"a": [1, 2, 3], "b": [4]}', '{"features": []}', "[]", "3", "not json", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(bodies + bad)], "i int, payload string")
+    rows = files.payload_rows(df, ["a", "b"])
+    got = [(r.i, r.row, r.a, r.b) for r in rows.orderBy("i", "row").collect()]
+    assert got == [(0, 0, "1", "true"), (0, 1, "0.5", "[x"), (1, 0, "3", "y"), (1, 1, "4", None), (2, 0, "5", None), (3, 0, None, None), (3, 1, None, None)]
+    assert {r.i: r.error for r in files.payload_errors(df).collect()} == {4: "columns of unequal length", 5: "no window", 6: "no window", 7: "neither an object nor a list", 8: "neither an object nor a list", 9: "neither an object nor a list"}
+    missing = {(r.i, r.row): r.missing for r in clean.invalid_rows(rows, ["a", "b"]).collect()}
+    assert missing == {(1, 1): ["b"], (2, 0): ["b"], (3, 0): ["a", "b"], (3, 1): ["a", "b"]}
+
+
+def test_every_critical_alert_is_handed_over(spark):
+    got = []
+    batch = spark.range(100).selectExpr("CASE WHEN id % 2 = 0 THEN 'DoS' ELSE ' Normal' END AS prediction", "0.9D + (id % 4 - 1) * 0.01 AS confidence", "id")
+    sinks.alert_batches(got.append, 7)(batch, 0)
+    assert sorted(r["id"] for x in got for r in x) == list(range(2, 100, 4)) and max(map(len, got)) == 7
+    sinks.alert_batches()(batch, 1)
+
+
+def test_alert_windows_and_report_tables(spark, tmp_path):
+    df = spark.createDataFrame([("2026-01-01T00:00:03Z",), ("soon",)], "t string").select(*(c.alias(n) for c, n in zip(scalars.alert_window(F.col("t")), "ab", strict=True)))
+    assert sorted(map(tuple, df.collect())) == [("2025-12-31T23:59:58Z", "2026-01-01T00:00:03Z"), ("soon", "soon")]
+    t = spark.createDataFrame([("rf", "all", 1.0, 0.5, 0.25, 0.1, 0.9, 0.8, 1, 2, 3, 4)], "algorithm string, variant string, f1 double, precision double, recall double, fpr double, roc_auc double, average_precision double, tn int, fp int, fn int, tp int")
+    assert tuple(report.confusion_table(t).first()) == ("rf", "all", 1, 2, 3, 4) and report.model_table(t).first().average_precision == 0.8
+    spark.range(3).coalesce(1).write.parquet(f"{tmp_path}/ids")
+    assert [r.record_id for r in order.with_record_id(spark.read.parquet(f"{tmp_path}/ids")).orderBy("id").collect()] == [0, 1, 2]
 
 
 def test_parquet_and_sinks(spark, tmp_path):
@@ -314,13 +347,14 @@ def test_pieces_do_not_change_results(spark, monkeypatch):
         tables = [
             onset.run_catalog(f), labels.prospective_labels(f, [900]), order.positions(s).select("record_id", "position"), blocked.select("record_id", "block"),
             windows.window_manifest(blocked, 4), windows.window_means(blocked, ["dur"], 4), order.holdout_splits(s, 4).select("record_id", "split", "purged"),
-            interval.attacks_before(f.select("source_file", "Stime"), f, 3600), interval.additive_features(f.select("source_file", "Stime").distinct(), f, [600]),
+            interval.attacks_before(f.select("source_file", "Stime"), f, 3600), interval.causal_features(f.select("source_file", "Stime").distinct(), f, [600, 900]),
+            onset.raw_transitions(f), onset.backward_steps(f), order.disorder(f),
         ]
         return [sorted(map(repr, t.collect())) for t in tables]
 
     want = everything()
     monkeypatch.setattr(pieces.time_piece, "__defaults__", (700,))
-    for module in (order, windows):
+    for module in (order, windows, pieces):
         monkeypatch.setattr(module, "ROWS", 5)
     monkeypatch.setattr(interval, "HOURS", 900)
     for a, b in zip(everything(), want, strict=True):

@@ -116,3 +116,15 @@ def test_disjoint(spark):
     contracts.require_disjoint(a, b, "id")
     with pytest.raises(contracts.ContractError):
         contracts.require_disjoint(a, a, "id")
+
+
+def test_a_polled_stream_picks_up_what_comes_later(spark, tmp_path):
+    from flowlens.streaming import flows as streams
+
+    spark.range(3).write.parquet(f"{tmp_path}/in")
+    query = streams.polled(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), str(tmp_path), "1 second")
+    query.processAllAvailable()
+    spark.range(3, 5).write.mode("append").parquet(f"{tmp_path}/in")
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2, 3, 4]

@@ -17,7 +17,8 @@ from flowlens.operators.metrics import fold_metrics
 from flowlens.operators.prep import Preprocessor
 from flowlens.operators.windows import realized_windows
 
-SEED, TREES, DEPTH = 42, 100, 20
+#: MLlib grows trees to depth 30 at most; DEEPEST stands for no limit.
+SEED, TREES, DEPTH, DEEPEST = 42, 100, 20, 30
 
 
 def classifier(algorithm: str, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
@@ -29,7 +30,7 @@ def classifier(algorithm: str, trees: int = TREES, depth: int = DEPTH, seed: int
     raise contracts.ContractError(f"no such algorithm: {algorithm}; a recurrent network has no equivalent in MLlib")
 
 
-def importances(rows: DataFrame, features: list[str], label: str = "Binary_Label", trees: int = TREES, depth: int = 10, seed: int = SEED) -> list[tuple[str, float]]:
+def importances(rows: DataFrame, features: list[str], label: str = "Binary_Label", trees: int = TREES, depth: int = DEEPEST, seed: int = SEED) -> list[tuple[str, float]]:
     """Features with their forest importance, by importance falling, then by their order. Fit on training rows."""
     x = rows.select(array_to_vector(F.array(*(F.col(f).cast("double") for f in features))).alias("features"), F.col(label).cast("double").alias("target_label"))
     model = classifier("random_forest", trees, depth, seed).fit(x)
@@ -54,8 +55,8 @@ def load_ranking(path: str) -> list[tuple[str, float]]:
 
 
 def score(model, windows: DataFrame) -> DataFrame:
-    """windows with y_score, y_pred and confidence."""
-    out = model.transform(windows).withColumn("y_score", vector_to_array("probability")[1])
+    """windows with y_score, y_pred and confidence. A copy of the model leaves out the fit's summary, which holds the session and cannot always be shipped."""
+    out = model.copy().transform(windows).withColumn("y_score", vector_to_array("probability")[1])
     hit, sure = decode(F.col("y_score"))
     return out.withColumn("y_pred", hit).withColumn("confidence", sure).drop("rawPrediction", "probability", "prediction", "features", "window", "flat")
 

@@ -427,17 +427,15 @@ def stream_sliding_measures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top_features_rf(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _train(spark, sf).withColumn("signal", F.col("Binary_Label") + F.col("dur") / 1000)
-    ranked = models.importances(rows, ["signal", *FEATURES], trees=10, depth=5)
+    ranked = models.importances(streams.stored(_train(spark, sf).select(*FEATURES, "Binary_Label")), FEATURES)
     return spark.createDataFrame([(i, n, v) for i, (n, v) in enumerate(ranked, 1)], "rank int, feature string, importance double")
 
 
 def forest_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Plans are cut by tables in the shared folder: a fit runs many jobs over its input."""
     rows = streams.stored(order.holdout_splits(_sessions(spark, sf), WIDTH).where("not purged"))
-    rows = order.contiguous_blocks(rows, "split").withColumn("hint", F.col("Binary_Label") * (F.col("record_id") % 4 > 0).cast("int"))
-    w = windows.realized_windows(rows, ["hint", "dur", "sbytes"], WIDTH, vector=True)
+    w = windows.realized_windows(order.contiguous_blocks(rows, "split"), FEATURES, WIDTH, vector=True)
     fold = rows.select(F.col("record_id").alias("target_record_id"), "split")
     w = streams.stored(w.join(fold, "target_record_id"))
-    model = models.classifier("random_forest", trees=10, depth=5).fit(w.where("split = 'train'"))
+    model = models.classifier("random_forest").fit(w.where("split = 'train'"))
     return models.score(model, w.where("split = 'test'")).select("target_record_id", "target_label", F.round("y_score", 6).alias("y_score"), "y_pred")

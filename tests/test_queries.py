@@ -47,6 +47,7 @@ def test_without_sql_runs(spark, name):
     rows = registry.queries()[name](spark, "/root/testdata/sf0.001").collect()
     assert rows
     if name == "top_features_rf":
-        assert rows[0].feature == "signal"
+        assert len({r.feature for r in rows}) == len(rows) == 5 and abs(sum(r.importance for r in rows) - 1) < 1e-6
+        assert [r.importance for r in rows] == sorted((r.importance for r in rows), reverse=True)
     if name == "forest_scores":
         assert all(0 <= r.y_score <= 1 and r.y_pred == int(r.y_score >= 0.5) for r in rows)

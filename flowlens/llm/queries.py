@@ -90,6 +90,40 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id)
 """
 
+#: Every string of 100 bytes by its place; those seen earlier merge into runs, and what lies between the runs is kept.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 99)) AS pos, h FROM d WHERE length(h) >= 200),
+k AS (SELECT doc_id, pos, md5_number(substr(h, 2 * pos + 1, 200)) AS key FROM s),
+o AS (SELECT key, min((doc_id, pos)) AS earliest FROM k GROUP BY key HAVING count(*) > 1),
+r AS (SELECT doc_id, pos FROM k JOIN o USING (key) WHERE (doc_id, pos) <> earliest),
+n AS (SELECT *, coalesce((pos > 100 + lag(pos) OVER (PARTITION BY doc_id ORDER BY pos))::INT, 1) AS fresh FROM r),
+g AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM n),
+x AS (SELECT doc_id, min(pos) AS a, max(pos) + 100 AS b FROM g GROUP BY doc_id, run),
+c AS (SELECT doc_id, a AS upto, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM x
+      UNION ALL SELECT doc_id, length(h) // 2, coalesce(b, 0) FROM d LEFT JOIN (SELECT doc_id, max(b) AS b FROM x GROUP BY doc_id) USING (doc_id)),
+t AS (SELECT c.doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (upto - from_)), '' ORDER BY from_) AS kept FROM c JOIN d USING (doc_id) GROUP BY c.doc_id),
+z AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM x GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN z USING (doc_id)
+"""
+
+#: Texts of equal sets are one class; classes that share a shingle are counted against the limit, and links are followed.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS s FROM d WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, md5_number(array_to_string(w[s:s + 3], ' ')) AS k FROM p),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(k::VARCHAR, ',' ORDER BY k)) AS class FROM sh GROUP BY doc_id),
+cls AS (SELECT class, min(doc_id) AS node, any_value(n) AS n FROM sets GROUP BY class),
+m AS (SELECT node, n, k FROM cls JOIN sh ON sh.doc_id = cls.node),
+l AS (SELECT a.node AS a, b.node AS b FROM m a JOIN m b ON a.k = b.k AND a.node <> b.node
+      GROUP BY a.node, b.node HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT node, node AS c FROM cls UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.node),
+f AS (SELECT node, min(c) AS component FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(sets.n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc_id)::BIGINT AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN cls USING (class) LEFT JOIN f USING (node)
+"""
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -127,4 +161,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_phrases": OP1_SQL, "op3_source_mix": OP3_SQL, "op10_exact_recipes": OP10_SQL}
+    return {"op1_benchmark_phrases": OP1_SQL, "op2_suffix_repeats": OP2_SQL, "op3_source_mix": OP3_SQL, "op5_hyperminhash_groups": OP5_SQL, "op10_exact_recipes": OP10_SQL}

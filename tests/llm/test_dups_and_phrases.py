@@ -208,3 +208,14 @@ def test_proximity(spark):
     _, chosen, index = decontam.search(docs, items)
     assert sorted((r.doc_id, r.distance) for r in decontam.proximity_matches(index, chosen, 3).collect()) == [(1, 2), (2, 0)]
     assert [r.doc_id for r in decontam.phrase_matches(index, chosen).collect()] == [2]
+
+
+@pytest.mark.parametrize("name", ["op2_suffix_repeats", "op5_hyperminhash_groups"])
+def test_duplicates_equal_sql(docs, rows, name):
+    c = duckdb.connect()
+    c.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    want = c.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    got = suffix_dedup.suffix_dedup(docs) if name.startswith("op2") else neardup.near_duplicates(docs, percent=80, size=4)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(want.fetchall())

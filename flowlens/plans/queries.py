@@ -419,8 +419,9 @@ def record_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_sliding_measures(spark: SparkSession, sf: str) -> DataFrame:
-    """The streaming form of windowed measures, run to the end of what is there."""
-    return streams.drained(streams.sliding_measures(streams.table_stream(flows(spark, sf))))
+    """The streaming form of windowed measures, run to the end of what is there; the windows' ends in seconds."""
+    closed = streams.drained(streams.sliding_measures(streams.table_stream(flows(spark, sf))))
+    return closed.select("source_file", F.unix_timestamp("start").alias("start_s"), F.unix_timestamp("end").alias("end_s"), "flows", "bytes", "attacks")
 
 
 # Models

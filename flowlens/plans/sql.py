@@ -260,4 +260,7 @@ SELECT f.fold, (SELECT count(*) FROM t a WHERE a.fold = f.fold - 1 AND a.record_
     "disorder": f"""WITH {FLOWS_SQL}, o AS (SELECT *, (record_id * 7919) % 10007 * 1000000 + record_id AS k FROM flows),
 l AS (SELECT *, lag(Stime) OVER w AS s, lag(Ltime) OVER w AS e, lag(k) OVER w AS pk FROM o WINDOW w AS (PARTITION BY source_file ORDER BY k))
 SELECT source_file, count(*) AS n_rows, count(*) FILTER (Stime < s OR (Stime = s AND Ltime < e)) AS out_of_order, count(*) FILTER (k = pk) AS repeated FROM l GROUP BY ALL""",
+    "stream_sliding_measures": f"""WITH {FLOWS_SQL}, w AS (SELECT *, Ltime - Ltime % 300 - unnest([0, 300]) AS start_s FROM flows)
+SELECT source_file, start_s, start_s + 600 AS end_s, count(*) AS flows, sum(sbytes + dbytes)::BIGINT AS bytes, sum(Binary_Label)::BIGINT AS attacks
+FROM w WHERE start_s + 600 <= (SELECT max(Ltime) FROM flows) - 600 GROUP BY source_file, start_s""",
 }

@@ -7,8 +7,8 @@ last document being cut at the budget. Prefix sums are taken over buckets of the
 source's rows, so a source of any size is spread over many tasks.
 
 Null texts have size 0 and take nothing. A null source is a source of its own, last in order. Ties of keys go by
-id, then size; rows that repeat another row's id and size share its place in the order. An empty table gives an
-empty result; further columns are ignored.
+id, then size; rows that repeat another row's id and size share its place in the order. A text of any
+length is read once and not moved. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ difference of the two Mahalanobis log-densities plus the log prior odds.
 
 Null and empty texts get the statistics of an empty text and a score like any other. Unlabelled rows, and rows
 whose label is null, teach nothing. If a class has no row, the score is the share of label 1 (0.5 without any
-label). Labels repeated for one id count as often as they are given. Further columns are ignored.
+label). Labels repeated for one id count as often as they are given. Repeated rows are judged on their own and get equal
+scores; ties need no order. A text of any length is one row of the JVM, split into lines and words (some 5 times its
+size). An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,7 +76,6 @@ class Discriminant:
 def fit(rows: DataFrame, shrink: float = 0.05, ridge: float = 1e-3) -> Discriminant:
     """rows: columns x (array of statistics) and label (0 or 1). One aggregate; its result does not grow with the rows."""
     d = len(FEATURES)
-    # A small random-free jitter is not needed: the ridge keeps constant statistics regular.
     sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(d)]
     products = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"q{i}_{j}") for i in range(d) for j in range(i, d)]
     moments = {}

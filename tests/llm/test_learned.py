@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from flowlens.llm import common, langid, lm, quality, toxicity
@@ -165,6 +166,33 @@ def test_toxicity(spark, table, empty, docs):
     assert odd.where("score is null or score < 0 or score > 1").count() == 0
 
 
+def test_evidence_has_the_plain_cosine_of_the_two_texts(spark, table):
+    """Chosen terms and weights counted text by text; repeated rows have equal results."""
+    d, lab = table
+    texts, marks = {r.doc_id: r.text for r in d.collect()}, {r.doc_id: r.toxic for r in lab.where("toxic is not null").collect()}
+    marks = {i: y for i, y in marks.items() if zlib.crc32(str(i).encode()) % 5}
+    words = {i: toxicity.word_lists(pa.array([t]))[0] for i, t in texts.items()}
+    counts = toxicity.label_counts(spark.createDataFrame([(texts[i], y) for i, y in marks.items()], "text string, label int"))
+    chosen = set(toxicity.choose_terms(counts, sum(marks.values()), len(marks) - sum(marks.values()), toxicity.VOCABULARY, toxicity.LEAST_G2))
+    tf = {i: Counter(t for x in w for t in toxicity.terms_of(x) if t in chosen) for i, w in words.items()}
+    twice = [i for i in texts if i % 50 == 0]
+    df = Counter(t for i in [*texts, *twice] for t in tf[i])
+
+    def vector(i):
+        out = {t: (1 + math.log(k)) * (1 + math.log((1 + len(texts) + len(twice)) / (1 + df[t]))) for t, k in tf[i].items()}
+        out[b""] = 1 + math.log(len(words[i])) if words[i] else 1.0
+        norm = math.sqrt(sum(x * x for x in out.values()))
+        return {t: x / norm for t, x in out.items()}
+
+    got = toxicity.toxicity_scores(d.union(d.where("doc_id % 50 = 0")), lab).collect()
+    assert len(got) == len(texts) + len(twice) and len({(r.doc_id, r.score) for r in got}) == len(texts)
+    for r in got[::7]:
+        own = vector(r.doc_id)
+        for e in r.evidence:
+            other = vector(int(e.doc_id))
+            assert int(e.doc_id) in marks and math.isclose(e.cosine, sum(x * other.get(t, 0.0) for t, x in own.items()), abs_tol=1e-4)
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     x = rng.random((300, 40)).astype(np.float32) * (rng.random((300, 40)) < 0.15)
@@ -187,6 +215,18 @@ def test_quality(spark, table, empty, docs):
     assert {r.score for r in quality.quality_scores(docs, spark.createDataFrame([], lab.schema)).collect()} == {0.5}
 
 
+def test_statistics_equal_plain_counts(docs, rows):
+    got = {r[0]: r[1] for r in docs.select("doc_id", F.array(*quality.statistics(F.col("text")))).collect()}
+    for i, text, *_ in rows:
+        t = text or ""
+        n, words, lines = len(t), len(regex.findall(r"[^\x20\x09-\x0D]+", t)), t.split("\n")
+        lower = t.translate(str.maketrans(common.UPPER, common.LOWER)).split(" ")
+        want = [math.log1p(n), math.log((n + 1) / (words + 1))]
+        want += [math.log((len(regex.findall(p, t)) + 0.5) / (n + 20)) for p in quality.COUNTED.values()]
+        want += [math.log((len(set(x)) + 1) / (len(x) + 1)) for x in (lines, lower)]
+        assert np.allclose(got[i], want, atol=1e-9), i
+
+
 def test_discriminant_equals_the_formula():
     rng = np.random.default_rng(4)
     x = {0: rng.normal(0, 1, (200, 3)), 1: rng.normal(1, [1, 2, 0.5], (300, 3))}

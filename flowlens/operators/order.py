@@ -1,7 +1,7 @@
 """Total order, natural sessions, positions, purges and blocks, without a window over all rows.
 
-Time leads the total order, so positions are ranks inside an hour, shifted by the number of rows in earlier
-hours; sessions come from distinct times, cut by day. No session, however long, is one task's.
+Time leads the total order, so positions are ranks inside a second, shifted by the number of rows in earlier
+seconds; sessions come from distinct times, cut by day. No session, however long, is one task's.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens import contracts
-from flowlens.operators.pieces import ROWS, carried, time_piece, with_row_before
+from flowlens.operators.pieces import ROWS, carried, numbered, with_row_before
 
-DAY, HOUR = 86_400, 3600
+DAY = 86_400
 
 
 def with_record_id(df: DataFrame, column: str = "record_id") -> DataFrame:
@@ -36,8 +36,8 @@ def natural_sessions(flows: DataFrame, gap: int) -> DataFrame:
     cut = cut.withColumn("new", F.coalesce((F.col("Stime") - F.col("previous") > gap).cast("int"), F.lit(0)))
     ahead = cut.groupBy("day").agg(F.sum("new").alias("new"))
     ahead = ahead.select("day", F.coalesce(F.sum("new").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    numbered = cut.withColumn("inside", F.sum("new").over(own)).join(ahead, "day")
-    return flows.join(numbered.select("Stime", (F.col("ahead") + F.col("inside")).cast("int").alias("temporal_session")), "Stime")
+    placed = cut.withColumn("inside", F.sum("new").over(own)).join(ahead, "day")
+    return flows.join(placed.select("Stime", (F.col("ahead") + F.col("inside")).cast("int").alias("temporal_session")), "Stime")
 
 
 def session_summary(flows: DataFrame) -> DataFrame:
@@ -49,11 +49,9 @@ def session_summary(flows: DataFrame) -> DataFrame:
 
 
 def positions(flows: DataFrame, name: str = "position") -> DataFrame:
-    """Zero-based position in the total order over all rows: ranks inside an hour, and a sum over hours."""
-    out = flows.withColumn("piece", time_piece(F.col("Stime"), HOUR))
-    ahead = carried(out.groupBy("piece").agg(F.count("*").alias("n")), [], __ahead=("before", F.sum("n")))
-    out = out.withColumn("__inside", F.row_number().over(Window.partitionBy("piece").orderBy(*contracts.ORDER)) - 1)
-    return out.join(ahead, "piece").withColumn(name, F.coalesce("__ahead", F.lit(0)) + F.col("__inside")).drop("piece", "__ahead", "__inside")
+    """Zero-based position in the total order over all rows: ranks inside a second, and sums over the seconds before."""
+    first, *rest = contracts.ORDER
+    return numbered(flows, name, first, rest).withColumn(name, F.col(name) - 1)
 
 
 def holdout_splits(flows: DataFrame, width: int) -> DataFrame:

@@ -33,14 +33,19 @@ def with_overlap(df: DataFrame, key: Column, size: int, overlap: int) -> DataFra
 
 
 def numbered(df: DataFrame, name: str, time: str, order: list[str], lead: list[str] | None = None) -> DataFrame:
-    """df with its rows numbered from 1 in the order of `lead`, `time` and `order`: ranks inside pieces, and a sum over pieces."""
+    """df with its rows numbered from 1 in the order of `lead`, `time` and `order`.
+
+    Rows are ranked among those of one time only; the rows of earlier times are sums of counts, inside pieces and over them.
+    """
     lead = lead or []
-    out = df.withColumn("piece", time_piece(F.col(time)))
-    counts = out.groupBy(*lead, "piece").agg(F.count("*").alias("n"))
+    times = df.groupBy(*lead, time).agg(F.count("*").alias("n")).withColumn("piece", time_piece(F.col(time)))
     before = Window.orderBy(*lead, "piece").rowsBetween(Window.unboundedPreceding, -1)  # a row per piece
-    counts = counts.select(*lead, "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ahead"))
-    inside = F.row_number().over(Window.partitionBy(*lead, "piece").orderBy(time, *order))
-    return out.withColumn("__inside", inside).join(counts, [*lead, "piece"]).withColumn(name, F.col("__ahead") + F.col("__inside")).drop("piece", "__ahead", "__inside")
+    ahead = times.groupBy(*lead, "piece").agg(F.sum("n").alias("n")).select(*lead, "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ahead"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy(*lead, "piece").orderBy(time).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    times = times.withColumn("__earlier", earlier).join(ahead, [*lead, "piece"]).select(*lead, time, (F.col("__ahead") + F.col("__earlier")).alias("__ahead"))
+    inside = F.row_number().over(Window.partitionBy(*lead, time).orderBy(*(order or [time])))
+    out = df.withColumn("__inside", inside).join(times, [*lead, time])
+    return out.select(*df.columns, (F.col("__ahead") + F.col("__inside")).alias(name))
 
 
 def with_row_before(df: DataFrame, value: Column, by: list[str], order: str, name: str) -> DataFrame:

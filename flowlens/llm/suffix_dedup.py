@@ -21,16 +21,18 @@ known, and equal hashes of spans are 128 bits with the anchor's.
 
 Null texts count as empty; texts shorter than `length` are kept whole. Rows that share an id follow one another in an
 order of their texts' hashes, so that of equal rows one keeps its text. A row without an id is kept whole. Longer texts
-than 4 MB are read in pieces, but lie in memory twice. Empty tables give empty results; further columns are ignored.
+than PIECE are read in pieces, but lie in memory twice. Empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,9 +42,11 @@ from flowlens.llm import common
 GRAM = 24
 MOST_SPANS = 2000
 #: Bytes of spans that one suffix array covers, roughly; whole anchors only.
-ARRAY_BYTES = 1 << 20
-#: Texts longer than this are read piece by piece.
-PIECE = 4 << 20
+ARRAY_BYTES = 1 << 17
+#: Windows whose least grams are found at once; the numbers they need fit into a core's cache.
+BLOCK = 1 << 14
+#: Bytes of texts that are worked on at once, so that all arrays stay in the cache; a longer text is read piece by piece.
+PIECE = 1 << 18
 #: Places of the nth row of an id begin at nth << ROW.
 ROW = 40
 
@@ -102,30 +106,22 @@ def anchored(body: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     if last <= 0:
         return empty, empty, empty, empty, empty, empty
     running = common.running_hash(body)
-    i = np.arange(len(body) - GRAM + 1)
-    value = common.span_hash(running, i, i + GRAM)
-    place, wide, window = i.astype(np.int32), 1, length - GRAM + 1
-    least = value
-    while wide * 2 <= window:
-        least, place = _wider(least, place, wide)
-        wide *= 2
-    if wide < window:
-        least, place = _wider(least, place, window - wide)
-    place = place[:last]
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))[:last]
-    inside = np.arange(last) + length <= at[1:][text]
-    starts = np.flatnonzero(inside)
-    if not len(starts):
+    value, place = _least_grams(running, last, length - GRAM + 1)
+    # A span ends where the least gram changes, and with its text; strings that would leave their text are none.
+    new = np.ones(last, bool)
+    np.not_equal(place[1:], place[:-1], out=new[1:])
+    new[at[:-1][at[:-1] < last]] = True
+    lo = np.flatnonzero(new)
+    text = np.searchsorted(at, lo, "right") - 1
+    n = np.minimum(np.append(lo[1:], last), at[text + 1] - length + 1) - lo
+    some = n > 0
+    if not some.any():
         return empty, empty, empty, empty, empty, empty
-    text, place = text[starts], place[starts]
-    new = np.ones(len(starts), bool)
-    new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
-    cut = np.flatnonzero(new)
-    n = np.diff(np.append(cut, len(starts)))
-    lo, anchor = starts[cut], place[cut]
+    lo, text, n = lo[some], text[some], n[some]
+    anchor = place[lo]
     span = common.span_hash(running, lo, lo + n + length - 1)
     span = common.mix(span ^ ((anchor - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return text[cut], lo - at[text[cut]], n, value[anchor].view(np.int64), span.view(np.int64), anchor - lo
+    return text, lo - at[text], n, value[anchor].view(np.int64), span.view(np.int64), anchor - lo
 
 
 def _repeats(text: np.ndarray, anchor: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -138,10 +134,30 @@ def _repeats(text: np.ndarray, anchor: np.ndarray, span: np.ndarray) -> np.ndarr
     return out
 
 
-def _wider(least: np.ndarray, place: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
-    """Minima, and their first places, of windows longer by `by`."""
-    right = least[by:] < least[:-by]
-    return np.where(right, least[by:], least[:-by]), np.where(right, place[by:], place[:-by])
+def _least_grams(running: np.ndarray, last: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams, and for each of the first `last` windows of grams the place of its least hash.
+
+    Worked on by blocks that fit into a cache. A hash's low bits give way to its place in the block, so that one
+    minimum finds both; of hashes that agree in all higher bits the first counts, whatever text they lie in.
+    """
+    _, down = common.POWERS.upto(len(running))
+    value, place = np.empty(last + window - 1, np.uint64), np.empty(last, np.int64)
+    bits = np.uint64((BLOCK + window).bit_length())  # the same for all texts
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    for a in range(0, last, BLOCK):
+        b = min(a + BLOCK, last)
+        e = b + window - 1
+        v = common.mix((running[a + GRAM : e + GRAM] - running[a:e]) * down[a:e] + np.uint64(GRAM))
+        value[a:e] = v
+        v = (v & ~low) | np.arange(e - a, dtype=np.uint64)
+        wide = 1
+        while wide * 2 <= window:
+            v = np.minimum(v[wide:], v[:-wide])
+            wide *= 2
+        if wide < window:
+            v = np.minimum(v[window - wide :], v[: wide - window])
+        place[a:b] = (v & low).view(np.int64) + a
+    return value, place
 
 
 def spans(docs: DataFrame, length: int) -> DataFrame:
@@ -154,8 +170,9 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             body, at = common.text_bytes(b.column(1))
             ids, rows = b.column(0).to_numpy(), b.column(2).to_numpy() << ROW
-            groups = [(0, len(ids))] if len(body) <= PIECE else [(i, i + 1) for i in range(len(ids))]
-            for x, y in groups:
+            x = y = 0
+            while (x := y) < len(ids):
+                y = max(x + 1, int(np.searchsorted(at, at[x] + PIECE, "right")) - 1)
                 for p in range(at[x], max(at[x] + 1, at[y] - length + 1), PIECE if y - x == 1 else len(body) + 1):
                     upto = min(at[y], p + PIECE + length - 1) if y - x == 1 else at[y]
                     text, lo, n, anchor, span, off = anchored(body[p:upto], np.clip(at[x : y + 1] - p, 0, upto - p), length)
@@ -188,6 +205,13 @@ def packed(docs: DataFrame) -> DataFrame:
     return common.map_arrow(docs, small, "doc_id long, nth long, packed binary")
 
 
+def _fields(lists: pa.ListArray) -> Iterator[Iterator[tuple]]:
+    """For each row of lists of structs the structs' fields as tuples; a null list is empty."""
+    each = zip(*(c.to_pylist() for c in lists.flatten().flatten()), strict=True)
+    for n in pc.fill_null(pc.list_value_length(lists), 0).to_pylist():
+        yield islice(each, n)
+
+
 def span_bytes(docs: DataFrame, asked: DataFrame, length: int, most_spans: int) -> DataFrame:
     """key, doc_id, lo, off, body: the bytes of the asked spans; of anchors with very many spans, string by string."""
 
@@ -195,15 +219,16 @@ def span_bytes(docs: DataFrame, asked: DataFrame, length: int, most_spans: int)
         press = zstandard.ZstdDecompressor()
         for b in batches:
             keys, ids, los, offs, bodies = [], [], [], [], []
-            for doc, nth, z, want in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            each = _fields(b.column(3))
+            for doc, nth, z, want in zip(*(c.to_pylist() for c in b.columns[:3]), each, strict=True):
                 text, base = press.decompress(z), nth << ROW
-                for w in want:
-                    lo, n = w["lo"] - base, w["n"]
-                    if w["spans"] <= most_spans:
-                        keys.append(w["anchor"])
+                for anchor, lo, n, off, spans in want:
+                    lo -= base
+                    if spans <= most_spans:
+                        keys.append(anchor)
                         ids.append(doc)
                         los.append(lo + base)
-                        offs.append(w["off"])
+                        offs.append(off)
                         bodies.append(text[lo : lo + n + length - 1])
                         continue
                     for p in range(lo, lo + n):
@@ -223,13 +248,18 @@ def agreeing(bodies: list[bytes], keys: np.ndarray, offs: np.ndarray, length: in
     """Spans that may share a string with another of their key.
 
     A string has length - GRAM bytes beside its anchor's gram, so half of them or more lie on one side of it; on
-    that side the spans of equal strings agree. Strings dealt out one by one (off < 0) all may.
+    that side the spans of equal strings agree. Strings dealt out one by one (off < 0) may if their key has different
+    ones; equal ones were counted when they were read.
     """
     half = (length - GRAM) // 2
     sizes = np.array([len(x) for x in bodies])
     at = np.concatenate([[0], np.cumsum(sizes)])
     running = common.running_hash(np.frombuffer(b"".join(bodies), np.uint8))
-    keep = offs < 0
+    keep = np.zeros(len(bodies), bool)
+    i = np.flatnonzero(offs < 0)
+    if len(i):
+        _, where, count = np.unique(keys[i], return_inverse=True, return_counts=True)
+        keep[i] = count[where] > 1
     anchor = at[:-1] + offs
     for has, start, stop in ((offs >= half, anchor - half, anchor), (sizes >= offs + GRAM + half, anchor + GRAM, anchor + GRAM + half)):
         i = np.flatnonzero(has & (offs >= 0))
@@ -328,10 +358,10 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
         press = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for nth, z, gone in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
-                text, digest, done, removed, n = press.decompress(z), hashlib.sha256(), 0, 0, 0
-                for lo, hi in sorted((g["lo"] - (nth << ROW), g["hi"] - (nth << ROW)) for g in gone or ()):
-                    hi = min(hi, len(text))
+            for nth, z, gone in zip(*(c.to_pylist() for c in b.columns[1:3]), _fields(b.column(3)), strict=True):
+                text, digest, done, removed, n, base = press.decompress(z), hashlib.sha256(), 0, 0, 0, nth << ROW
+                for lo, hi in sorted(gone):
+                    lo, hi = lo - base, min(hi - base, len(text))
                     if hi <= done and n:
                         continue
                     if lo > done or not n:

@@ -178,6 +178,30 @@ def test_long_texts_are_read_in_pieces(spark, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(df).collect()} == repeats(rows, 100)
 
 
+def test_dealt_strings_alone_under_their_key_are_not_sorted():
+    """Anchors with very many spans deal out each string; only different strings under one key need a suffix array."""
+    bodies, keys, offs = [bytes([65 + i]) * 100 for i in range(4)], np.array([1, 2, 2, 3]), np.array([-1, -1, -1, -1])
+    assert suffix_dedup.agreeing(bodies, keys, offs, 100).tolist() == [False, True, True, False]
+
+
+def test_anchors_do_not_depend_on_blocks_or_neighbours(monkeypatch):
+    """Found by blocks, they are the least grams of each string, the first of equal ones."""
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (500, 0, 99, 100, 340)] + [b"q" * 300]
+    body, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    whole = suffix_dedup.anchored(body, at, 100)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 64)
+    for x, y in zip(whole, suffix_dedup.anchored(body, at, 100), strict=True):
+        assert x.tolist() == y.tolist()
+    text, lo, n, anchor, span, off = whole
+    covered = [(i, p, a, p0 + o - p) for i, p0, m, a, o in zip(text, lo, n, anchor, off, strict=True) for p in range(p0, p0 + m)]
+    assert [(i, p) for i, p, *_ in covered] == [(i, p) for i, t in enumerate(texts) for p in range(len(t) - 99)]
+    grams = lambda b: common.span_hash(common.running_hash(b), np.arange(len(b) - 23), np.arange(len(b) - 23) + 24)
+    for i, p, a, o in covered:
+        g = grams(np.frombuffer(texts[i][p : p + 100], np.uint8))
+        assert int(np.argmin(g)) == o and int(g[o].view(np.int64)) == a
+
+
 def bench_items(rows):
     words = lambda k: re.findall(r"\w+", rows[k][1])
     long = max(range(60), key=lambda k: len(rows[k][1] or ""))

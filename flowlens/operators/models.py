@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowlens import contracts
 from flowlens.functions.scalars import decode
+from flowlens.operators import forest
 from flowlens.operators.metrics import fold_metrics
 from flowlens.operators.prep import Preprocessor
 from flowlens.operators.windows import realized_windows
@@ -38,6 +39,18 @@ def importances(rows: DataFrame, features: list[str], label: str = "Binary_Label
     return [(features[i], float(model.featureImportances[i])) for i in ranked]
 
 
+def forest_scores(train: DataFrame, test: DataFrame, width: int, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> DataFrame:
+    """target_record_id, target_label, y_score, y_pred and confidence of the test windows, by a forest that is fit on train and not kept.
+
+    Both: windows with flat, of `width` numbers. A forest on many rows is too large for a driver, so tasks grow its trees
+    and score with them; classifier() fits one that can be stored.
+    """
+    x = [F.col("flat").alias("x"), F.col("target_record_id").alias("id"), F.col("target_label").cast("int").alias("y")]
+    out = forest.scores(train.select(*x), test.select(*x), width, trees, depth, seed)
+    hit, sure = decode(F.col("y_score"))
+    return out.select(F.col("id").alias("target_record_id"), F.col("y").alias("target_label"), "y_score").withColumn("y_pred", hit).withColumn("confidence", sure)
+
+
 def select(ranked: list[tuple[str, float]], top_n: int | None = None, threshold: float = 0.0) -> list[str]:
     """The names to keep: those that reach a threshold above 0, or else the first top_n; none is an error."""
     names = [n for n, v in ranked if v >= threshold] if threshold > 0 else [n for n, _ in ranked[:top_n]]

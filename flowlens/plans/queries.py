@@ -435,8 +435,8 @@ def top_features_rf(spark: SparkSession, sf: str) -> DataFrame:
 def forest_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Plans are cut by tables in the shared folder: a fit runs many jobs over its input."""
     rows = streams.stored(order.holdout_splits(_sessions(spark, sf), WIDTH).where("not purged"))
-    w = windows.realized_windows(order.contiguous_blocks(rows, "split"), FEATURES, WIDTH, vector=True)
+    w = windows.realized_windows(order.contiguous_blocks(rows, "split"), FEATURES, WIDTH)
     fold = rows.select(F.col("record_id").alias("target_record_id"), "split")
-    w = streams.stored(w.join(fold, "target_record_id"))
-    model = models.classifier("random_forest").fit(w.where("split = 'train'"))
-    return models.score(model, w.where("split = 'test'")).select("target_record_id", "target_label", F.round("y_score", 6).alias("y_score"), "y_pred")
+    w = streams.stored(w.join(fold, "target_record_id").select("target_record_id", "target_label", "flat", "split"))
+    scored = models.forest_scores(w.where("split = 'train'"), w.where("split = 'test'"), len(FEATURES) * WIDTH)
+    return scored.select("target_record_id", "target_label", F.round("y_score", 6).alias("y_score"), "y_pred")

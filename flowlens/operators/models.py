@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier, RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +33,10 @@ def classifier(algorithm: str, trees: int = TREES, depth: int = DEPTH, seed: int
 
 def importances(rows: DataFrame, features: list[str], label: str = "Binary_Label", trees: int = TREES, depth: int = DEEPEST, seed: int = SEED) -> list[tuple[str, float]]:
     """Features with their forest importance, by importance falling, then by their order. Fit on training rows."""
-    x = rows.select(array_to_vector(F.array(*(F.col(f).cast("double") for f in features))).alias("features"), F.col(label).cast("double").alias("target_label"))
-    model = classifier("random_forest", trees, depth, seed).fit(x)
-    ranked = sorted(range(len(features)), key=lambda i: (-float(model.featureImportances[i]), i))
-    return [(features[i], float(model.featureImportances[i])) for i in ranked]
+    x = rows.select(F.array(*(F.col(f).cast("double") for f in features)).alias("x"), (F.col(label).cast("double") > 0).cast("int").alias("y"))
+    found = forest.importances(x, len(features), trees, depth, seed)
+    ranked = sorted(range(len(features)), key=lambda i: (-float(found[i]), i))
+    return [(features[i], float(found[i])) for i in ranked]
 
 
 def forest_scores(train: DataFrame, test: DataFrame, width: int, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> DataFrame:

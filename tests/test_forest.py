@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from flowlens.operators import forest
+from flowlens import contracts
+from flowlens.operators import forest, models
 
 
 def gini(y):
@@ -63,3 +65,14 @@ def test_scores_are_the_mean_of_plain_trees(table):
         want += forest.shares(forest.grow(codes, marks, w.astype(np.float32), 6, rng), coded(asked)) / 7
     assert set(got) == {r.id for r in asked} and all(abs(got[r.id][1] - s) < 1e-6 and got[r.id][0] == r.y for r, s in zip(asked, want, strict=True))
     assert sum((s > 0.5) == y for y, s in got.values()) / len(got) > 0.8
+
+
+def test_partitions_do_not_change_the_forest(table, monkeypatch):
+    rows = table.select(*(F.col("x")[i].alias(f"f{i}") for i in range(4)), F.col("y").alias("Binary_Label"))
+    names = ["f0", "f1", "f2", "f3"]
+    one = models.importances(rows.coalesce(1), names, trees=9, depth=8)
+    monkeypatch.setattr(forest, "BLOCK", 100)
+    assert models.importances(rows.repartition(7), names, trees=9, depth=8) == one
+    assert {n for n, _ in one[:2]} == {"f0", "f1"} and one[3] == ("f3", 0.0) and abs(sum(v for _, v in one) - 1) < 1e-9
+    with pytest.raises(contracts.ContractError):
+        models.importances(rows.limit(0), names)
